@@ -57,11 +57,11 @@ def _at_rank(scores: DataFrame, group: Sequence[str], n: int, q: float) -> DataF
     bracket = scores.groupBy(*group).agg(
         F.percentile_approx("score", lo_q, SKETCH).alias("_lo"), F.percentile_approx("score", hi_q, SKETCH).alias("_hi")
     )
-    marked = scores.select(*group, "score").join(F.broadcast(bracket), list(group))
+    marked = scores.select(*group, "score").join(bracket, list(group))
     below = marked.groupBy(*group).agg(F.count(F.when(F.col("score") < F.col("_lo"), 1)).alias("_below"))
     inside = marked.filter(F.col("score").between(F.col("_lo"), F.col("_hi"))).groupBy(*group, "score").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*group).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("_upto", F.sum("_n").over(w)).join(F.broadcast(below), list(group))
+    ranked = inside.withColumn("_upto", F.sum("_n").over(w)).join(below, list(group))
     last = F.col("_below") + F.col("_upto")  # ranks below + upto - n .. below + upto - 1 hold this score
     first = last - F.col("_n")
     at = lambda k: F.max(F.when((first <= k) & (last > k), F.col("score")))

@@ -119,64 +119,81 @@ def climatology_rows(raw: DataFrame, payload: str = "payload", speed_factor: flo
     )
 
 
-def member_stats(values: Column) -> Column:
-    """Struct (n, mean, std, range) of an array of numbers; population standard deviation."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    some = n > 0
-    return F.struct(
-        n.alias("n"),
-        F.when(some, mean).alias("mean"),
-        F.when(some, F.sqrt(var)).alias("std"),
-        F.when(some, F.array_max(values) - F.array_min(values)).alias("range"),
-    )
+def add_member_stats(df: DataFrame, members: dict[str, str]) -> DataFrame:
+    """For every (prefix, array column): count, mean, population deviation and range.
+
+    Three stages, so that the mean is computed once per row and not once per member.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    df = df.withColumns({f"{p}_n": F.size(c) for p, c in members.items()})
+    df = df.withColumns({f"{p}_mean": F.when(F.col(f"{p}_n") > 0, total(F.col(c)) / F.col(f"{p}_n")) for p, c in members.items()})
+    out: dict[str, Column] = {}
+    for p, c in members.items():
+        out[f"{p}_std"] = F.when(F.col(f"{p}_n") > 0, F.sqrt(_mean_square(c, f"{p}_mean", f"{p}_n")))
+        out[f"{p}_range"] = F.when(F.col(f"{p}_n") > 0, F.array_max(c) - F.array_min(c))
+    return df.withColumns(out)
+
+
+def _mean_square(values: str, mean: str, n: str) -> Column:
+    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - F.col(mean)) * (x - F.col(mean)))
+    return squares / F.col(n)
 
 
 def ensemble_rows(raw: DataFrame, as_of: Column, payload: str = "payload") -> DataFrame:
     """Ensemble payloads to rows: control values plus spread of the members.
 
-    Members are found by key prefix, so their number is not fixed.
+    Members are found by key prefix, so their number is not fixed. The members' arrays are
+    picked out once per payload and turned into one short array per hour before the hours
+    are exploded.
     """
     keep = [c for c in raw.columns if c != payload]
-    hours = raw.select(
-        *keep, F.from_json(payload, "struct<hourly: map<string, array<string>>>")["hourly"].alias("_h")
-    ).select(*keep, "_h", F.posexplode(F.col("_h")["time"]).alias("_pos", "_time"))
+    parsed = raw.select(*keep, F.from_json(payload, "struct<hourly: map<string, array<string>>>")["hourly"].alias("_h"))
+    controls = {"wind_speed_kn": "wind_speed_10m", "wind_dir_deg": "wind_direction_10m", "wind_gust_kn": "wind_gusts_10m", "pressure_msl": "pressure_msl"}
 
-    def control(var: str) -> Column:
-        return F.get(F.try_element_at("_h", F.lit(var)), F.col("_pos")).try_cast("double")
+    def of_variable(var: str) -> Column:
+        return F.map_values(F.map_filter("_h", lambda k, _: k.startswith(var + "_member")))
 
-    def members(var: str) -> Column:
-        arrays = F.map_values(F.map_filter("_h", lambda k, _: k.startswith(var + "_member")))
-        at_hour = F.transform(arrays, lambda a: F.get(a, F.col("_pos")).try_cast("double"))
-        return F.filter(at_hour, lambda x: x.isNotNull())
+    series = parsed.select(
+        *keep,
+        F.try_element_at("_h", F.lit("time")).alias("_time"),
+        *[F.try_element_at("_h", F.lit(v)).alias(f"_c_{n}") for n, v in controls.items()],
+        *[of_variable(v).alias(f"_a_{short}") for short, v in MEMBER_VARIABLES.items()],
+    )
 
-    rows = hours.select(
-        F.concat("model_name", F.lit("_ens")).alias("model_name"),
-        *[c for c in keep if c != "model_name"],
-        as_of.alias("run_time"),
-        F.col("_time").try_cast("timestamp_ntz").alias("valid_time"),
-        control("wind_speed_10m").alias("wind_speed_kn"),
-        control("wind_direction_10m").alias("wind_dir_deg"),
-        control("wind_gusts_10m").alias("wind_gust_kn"),
-        control("pressure_msl").alias("pressure_msl"),
-        *[member_stats(members(v)).alias(f"_{short}") for short, v in MEMBER_VARIABLES.items()],
-    ).filter("valid_time IS NOT NULL")
+    def at_hour(time: Column, i: Column) -> Column:
+        def members(short: str) -> Column:
+            values = F.transform(f"_a_{short}", lambda a: F.get(a, i).try_cast("double"))
+            return F.filter(values, lambda x: x.isNotNull())
+
+        return F.struct(
+            time.try_cast("timestamp_ntz").alias("valid_time"),
+            *[F.get(f"_c_{n}", i).try_cast("double").alias(n) for n in controls],
+            *[members(short).alias(f"_m_{short}") for short in MEMBER_VARIABLES],
+        )
+
+    hours = series.select(*keep, F.inline(F.transform("_time", at_hour))).filter("valid_time IS NOT NULL")
+    rows = add_member_stats(hours, {short: f"_m_{short}" for short in MEMBER_VARIABLES})
     spread = F.struct(
-        F.col("_speed.n").alias("n_members"),
+        F.col("speed_n").alias("n_members"),
         *[
-            F.col(f"_{s}.{stat}").alias(f"{s}_{stat}")
+            f"{s}_{stat}"
             for s, stats in (
                 ("speed", ("mean", "std", "range")),
                 ("dir", ("mean", "std", "range")),
                 ("gust", ("mean", "std")),
-                ("press", ("mean", "std")),
+                ("press", ("std",)),
             )
             for stat in stats
-            if (s, stat) != ("press", "mean")
         ],
     )
-    return rows.withColumn("spread", spread).drop(*[f"_{s}" for s in MEMBER_VARIABLES])
+    return rows.select(
+        F.concat("model_name", F.lit("_ens")).alias("model_name"),
+        *[c for c in keep if c != "model_name"],
+        as_of.alias("run_time"),
+        "valid_time",
+        *controls,
+        spread.alias("spread"),
+    )
 
 
 SPREAD_SCHEMA = (
