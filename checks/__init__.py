@@ -1,3 +1,3 @@
 """Queries over the shared test tables, each with an independent SQL counterpart."""
 
-MODULES = ["ingest", "stored", "lookups", "aggregates", "scalars", "featureset", "scoring", "alerting", "streams"]
+MODULES = ["ingest", "stored", "lookups", "aggregates", "scalars", "featureset", "scoring", "learned", "alerting", "streams"]

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from sparkmos.functions.common import rnd, ts
+from sparkmos.functions.common import ts
 from sparkmos.session import prepare
 
 AS_OF = "2024-01-20 12:00:00"
@@ -159,17 +158,18 @@ def r(x: str, n: int = 6) -> str:
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, integers widened, dates as text, so that the two engines compare equal."""
-    cols: list[Column] = []
+    cols: list[str] = []
     for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
+        c = f"`{name}`"
         if kind in ("double", "float"):
-            c = rnd(c.cast("double"), digits) + F.lit(0.0)
+            cols.append(f"round(round(CAST({c} AS DOUBLE), 9), {digits}) + 0D AS {c}")
         elif kind in ("int", "smallint", "tinyint"):
-            c = c.cast("bigint")
+            cols.append(f"CAST({c} AS BIGINT) AS {c}")
         elif kind == "date":
-            c = c.cast("string")
-        cols.append(c.alias(name))
-    return df.select(*cols)
+            cols.append(f"CAST({c} AS STRING) AS {c}")
+        else:
+            cols.append(c)
+    return df.selectExpr(*cols)
 
 
 def doubles(names: str, digits: int = 6, prefix: str = "") -> str:

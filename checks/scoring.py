@@ -123,7 +123,7 @@ CYCLE = SERVED.replace(SERVED[: SERVED.index("times AS")], HORIZON_SPINE + ", ",
 @query("d08_prediction_cycle", sql(f"WITH {CYCLE} SELECT point_id, t AS valid_time, TIMESTAMP '2024-01-20 12:00:00' AS generated_at, 'stub' AS model_version, {doubles(SERVED_COLS)} FROM served", *FX))
 def d08(spark, sf):
     p = table(spark, sf, "fx_points").filter("is_operational")
-    f = features.build_features(spine.horizon_spine(p, as_of()), table(spark, sf, "fx_forecast_runs"), table(spark, sf, "fx_observations"), cfg.POINTS, tie_break=TB)
+    f = features.build_features(spine.horizon_spine(p, as_of()), table(spark, sf, "fx_forecast_runs"), table(spark, sf, "fx_observations"), cfg.OPERATIONAL, tie_break=TB)
     rows = inference.prediction_rows(inference.served_forecast(stubbed(f)), as_of(), "stub")
     return rows.select("point_id", "valid_time", "generated_at", "model_version", *SERVED_COLS.split())
 
@@ -173,7 +173,7 @@ COUNTS = "count(*) AS n_test_samples, count(*) FILTER (WHERE era5) AS n_era5_sam
 
 
 def errors_df(spark, sf):
-    return evaluation.walk_forward_errors(served_df(spark, sf), table(spark, sf, "fx_observations"), cfg.POINTS, START, END, tie_break=TB, **BT)
+    return evaluation.walk_forward_errors(served_df(spark, sf), table(spark, sf, "fx_observations"), cfg.OPERATIONAL, START, END, tie_break=TB, **BT)
 
 
 @query("d10_walk_forward_report", sql(f"WITH {ERRORS} SELECT {COUNTS}, {SCORES}, {MET} AS success_criteria_met FROM we", *FX))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sparkmos import settings as cfg
 from sparkmos.functions.common import clamp, mean_of_present, rnd
-from sparkmos.functions.wind import direction_error
 
 
 def agreement(models=cfg.MODELS) -> dict[str, Column]:
@@ -17,8 +16,8 @@ def agreement(models=cfg.MODELS) -> dict[str, Column]:
     out: dict[str, Column] = {}
     for a, b in combinations(models, 2):
         for field, short in (("speed", "speed"), ("pressure", "press"), ("temp", "temp")):
-            out[f"agree_{short}_{a}_{b}"] = F.abs(F.col(f"fc_{a}_{field}") - F.col(f"fc_{b}_{field}"))
-        out[f"agree_dir_{a}_{b}"] = direction_error(F.col(f"fc_{a}_dir"), F.col(f"fc_{b}_dir"))
+            out[f"agree_{short}_{a}_{b}"] = F.expr(f"abs(fc_{a}_{field} - fc_{b}_{field})")
+        out[f"agree_dir_{a}_{b}"] = F.expr(f"abs(pmod(fc_{a}_dir - fc_{b}_dir + 180, 360D) - 180)")
     return out
 
 

@@ -76,26 +76,29 @@ def forecast_features(
     upper = [c for c in UPPER_FEATURES if c in have]
     extra = ["raw_json"] if ensembles else []
     found = asof.forecasts_at(samples, forecasts, [*wanted, *upper, *extra], 30, tie_break=tie_break)
-    model = F.col("model_name")
+
+
+    def of_model(column: str, model: str, name: str) -> Column:
+        return F.expr(f"max({column}) FILTER (WHERE model_name = '{model}')").alias(name)
+
     aggs = [
-        F.count(F.when(model.isin(*models), 1)).alias("n_models"),
+        F.count(F.when(F.col("model_name").isin(*models), 1)).alias("n_models"),
         F.count("*").alias("n_rows"),
-        F.max((model == reference).cast("int")).alias("_has_ref"),
+        F.expr(f"count_if(model_name = '{reference}')").alias("_has_ref"),
     ]
     for m in models:
-        aggs += [F.max(F.when(model == m, F.col(c))).alias(f"fc_{m}_{name}") for c, name in wanted.items()]
-    for e in ensembles:
-        aggs.append(F.max(F.when(model == f"{e}_ens", F.col("raw_json"))).alias(f"_ens_{e}"))
-    for c in upper:
-        aggs.append(F.max(F.when(model == reference, F.col(c))).alias(f"ua_{c}"))
-    wide = found.groupBy("point_id", "t").agg(*aggs).filter("_has_ref = 1").drop("_has_ref")
+        aggs += [of_model(c, m, f"fc_{m}_{name}") for c, name in wanted.items()]
+    aggs += [of_model("raw_json", f"{e}_ens", f"_ens_{e}") for e in ensembles]
+    aggs += [of_model(c, reference, f"ua_{c}") for c in upper]
+    wide = found.groupBy("point_id", "t").agg(*aggs).filter("_has_ref > 0").drop("_has_ref")
     more: dict[str, Column] = {}
     for m in models:
-        s, d = F.col(f"fc_{m}_speed"), F.col(f"fc_{m}_dir")
-        more[f"fc_{m}_u"], more[f"fc_{m}_v"] = wind.u_of(s, d), wind.v_of(s, d)
+        s, d = f"fc_{m}_speed", f"fc_{m}_dir"
+        more[f"fc_{m}_u"] = F.expr(f"-{s} * sin(radians({d}))")
+        more[f"fc_{m}_v"] = F.expr(f"-{s} * cos(radians({d}))")
         for level in ("80", "120"):
             if f"wind_speed_{level}m" in wanted:
-                more[f"fc_{m}_shear_10_{level}"] = ff.shear(F.col(f"fc_{m}_speed_{level}m"), s)
+                more[f"fc_{m}_shear_10_{level}"] = ff.shear(F.col(f"fc_{m}_speed_{level}m"), F.col(s))
     if "wind_speed_850hPa" in upper:
         more["ua_shear_10_850"] = ff.shear(F.col("ua_wind_speed_850hPa"), F.col(f"fc_{reference}_speed"))
     if "temperature_850hPa" in upper:
@@ -156,7 +159,7 @@ def lagged_forecasts(
     ]
     for lag in cfg.LAG_MINUTES:
         for c, name in (("wind_speed_kn", "speed"), ("wind_dir_deg", "dir"), ("pressure_msl", "press"), ("temperature_2m", "temp")):
-            aggs.append(F.max(F.when(off == lag, F.col(c))).alias(f"lag{lag}_{name}"))
+            aggs.append(F.expr(f"max({c}) FILTER (WHERE off = {lag})").alias(f"lag{lag}_{name}"))
     return served.groupBy("point_id", "t").agg(*aggs)
 
 

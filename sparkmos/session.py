@@ -27,7 +27,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def build(app: str = "sparkmos", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    # Recording the Python call site of every column expression costs more than planning
+    # does for a plan with thousands of them.
+    builder = SparkSession.builder.appName(app).config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
         if master.startswith("local"):
