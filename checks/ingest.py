@@ -47,11 +47,16 @@ def _with_payload(ev, bad: str = "event_id % 7 = 0"):
     )
 
 
+def _landed(ev):
+    """Payloads land as many files; the shared event table is one."""
+    return ev.repartition(ev.sparkSession.sparkContext.defaultParallelism, "event_id")
+
+
 def payloads(spark, sf):
     ev = table(spark, sf, "fx_events").withColumns(
         {"model_name": F.concat(F.lit("m_"), "event_type"), "point_id": F.concat(F.lit("p_"), F.pmod("user_id", F.lit(11)))}
     )
-    return _with_payload(ev).select("event_id", "model_name", "point_id", "payload")
+    return _with_payload(_landed(ev)).select("event_id", "model_name", "point_id", "payload")
 
 
 HOUR_ROWS = """
@@ -98,7 +103,7 @@ def s03(spark, sf):
 
 
 def ensemble_payloads(spark, sf):
-    ev = table(spark, sf, "fx_events")
+    ev = _landed(table(spark, sf, "fx_events"))
 
     def member(j: int):
         return _values(6, lambda i: F.when((F.col("event_id") + i + j) % 6 != 0, F.col("value") * (0.8 + 0.1 * j) + i * j))

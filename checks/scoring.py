@@ -14,7 +14,6 @@ from sparkmos import settings as cfg
 from sparkmos.functions import decision
 from sparkmos.operators import crossval, serve, verify
 from sparkmos.plans import evaluation, features, inference, spine
-from sparkmos.session import materialize
 
 FX = ("fx_points", "fx_forecast_runs", "fx_observations")
 START, END = datetime(2024, 1, 1), datetime(2024, 1, 31)
@@ -234,7 +233,7 @@ SELECT path_id, count(*) FILTER (WHERE ti IS NULL) AS n_train, count(*) FILTER (
 
 @query("d13_purge_labels", D13)
 def d13(spark, sf):
-    e = materialize(indexed_df(spark, sf).select("idx"))
+    e = indexed_df(spark, sf).select("idx")
     return crossval.label_counts(e, e.agg(F.count("*").alias("n")).scalar(), GROUPS, N_TEST, P, E)
 
 
@@ -245,7 +244,7 @@ pp AS (SELECT path_id, count(*) AS n_test, avg(cand_err) AS cand_mae, avg(cand_d
 
 @query("a17_path_scores", sql(f"WITH {PATHS} SELECT path_id, n_test, {doubles('cand_mae cand_dir pers_mae nwp_mae interval_coverage')} FROM pp", *FX))
 def a17(spark, sf):
-    return evaluation.cross_validation(materialize(indexed_df(spark, sf)))[0]
+    return evaluation.cross_validation(indexed_df(spark, sf))[0]
 
 
 def mean_std(c: str, d: int) -> str:
@@ -260,7 +259,7 @@ D14 = sql(f"""WITH {PATHS} SELECT count(*) AS n_paths, sum(n_test)::BIGINT AS n_
 @query("d14_cross_validation", D14)
 def d14(spark, sf):
     """Path means and deviations (A17) with the one-sample t-test."""
-    return evaluation.cross_validation(materialize(indexed_df(spark, sf)))[1]
+    return evaluation.cross_validation(indexed_df(spark, sf))[1]
 
 
 @query("d21_validation_report", sql(f"""WITH {PAIRS} SELECT point_id, count(*) AS n_pairs, {r('avg(error)')} AS mean_error, {r('avg(abs_error) FILTER (WHERE is_reanalysis)')} AS mae_reanalysis, count(*) FILTER (WHERE is_reanalysis) AS n_reanalysis,

@@ -55,6 +55,11 @@ def ts(value: str) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
+def iso_time(text: Column | str) -> Column:
+    """ISO text to a zone-less time; an offset is dropped, unreadable text gives NULL."""
+    return F.regexp_replace(col(text), r"(?:Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
+
+
 def mean_of_present(*cols: Column, at_least: int = 1) -> Column:
     """Mean of the non-NULL arguments, NULL when fewer than ``at_least`` are present."""
     n = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cols])

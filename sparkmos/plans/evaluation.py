@@ -1,4 +1,9 @@
-"""Backtests over one feature table: walk-forward, cross-validation, calibration."""
+"""Backtests over one feature table: walk-forward, cross-validation, calibration.
+
+Each backtest reads its samples several times (for errors, persistence, positions). They are
+a dozen columns, so they are written once to the shared scratch folder instead of building
+the features anew for every use.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 from sparkmos import settings as cfg
 from sparkmos.functions import wind
 from sparkmos.operators import conformal, crossval, nearest, verify
+from sparkmos.session import materialize
 from sparkmos.settings import Point
 
 
@@ -65,7 +71,7 @@ def walk_forward_errors(
     Reports come from it by aggregation: ``verify.score`` overall or per window,
     ``verify.regime_scores`` per regime.
     """
-    samples = evaluation_samples(predicted)
+    samples = materialize(evaluation_samples(predicted))
     paired = samples.join(persistence(samples, observations, points, tie_break), ["point_id", "valid_time"], "left")
     return crossval.with_windows(verify.with_errors(paired), start, end, train_days, test_days, step_days)
 
@@ -84,7 +90,7 @@ def cross_validation_errors(predicted: DataFrame, point_order: DataFrame, per_po
 
     ``point_order`` gives ``p_order`` per point.
     """
-    samples = evaluation_samples(predicted).join(point_order.select("point_id", "p_order"), "point_id")
+    samples = materialize(evaluation_samples(predicted).join(point_order.select("point_id", "p_order"), "point_id"))
     with_prev = verify.previous_observation(samples, ["valid_time"], per_point).withColumn("pers_dir", F.lit(None).cast("double"))
     return crossval.sample_index(verify.with_errors(with_prev))
 

@@ -167,13 +167,14 @@ def lag_derivatives(current_speed: Column) -> dict[str, Column]:
     return {f"lag{m}_speed_dt": (current_speed - F.col(f"lag{m}_speed")) / (m / 60.0) for m in cfg.LAG_MINUTES}
 
 
-def climatology_features(samples: DataFrame, climatology: DataFrame, years_back: int = clim.YEARS_BACK) -> DataFrame:
-    """Normals, frequency and percentile per (point_id, t); needs ``fc_speed`` on the samples."""
-    keys = ["point_id", "t"]
+def climatology_features(
+    samples: DataFrame, speeds: DataFrame, climatology: DataFrame, years_back: int = clim.YEARS_BACK
+) -> DataFrame:
+    """Normals, frequency and percentile per sample (point_id, t); ``speeds`` adds ``fc_speed``."""
     n = clim.normals(samples, climatology, years_back=years_back)
-    pct = clim.seasonal_percentile(samples, climatology, years_back=years_back)
+    pct = clim.seasonal_percentile(speeds, climatology, years_back=years_back)
     foehn = clim.foehn_frequency(samples, climatology, years_back=years_back)
-    return n.join(pct, keys, "left").join(foehn.drop("n_north_days"), "t", "left")
+    return n.join(pct, ["point_id", "t"], "left").join(foehn.drop("n_north_days"), "t", "left")
 
 
 def anomalies() -> dict[str, Column]:
@@ -240,8 +241,12 @@ def build_features(
     pressure = anchor_pressures(base, forecasts, tie_break=tie_break)
     df = own.join(lags, keys, "left").join(obs, keys, "left")
     if climatology is not None:
-        wanted = own.select(*keys, F.col(f"fc_{reference}_speed").alias("fc_speed"))
-        df = df.join(climatology_features(wanted, climatology, years_back), keys, "left")
+        # Looked up again for the reference model alone: one column of one model is far less
+        # than the wide table, which would otherwise be built twice.
+        one = forecasts.filter(F.col("model_name") == reference)
+        speeds = asof.forecasts_at(base, one, ["wind_speed_kn"], 30, tie_break=tie_break)
+        speeds = speeds.select(*keys, F.col("wind_speed_kn").alias("fc_speed"))
+        df = df.join(climatology_features(base, speeds, climatology, years_back), keys, "left")
     df = df.join(pressure, "t", "left").join(water, "t", "left")
     places = points_df(spark, points).select("point_id", "lat", "lon")
     df = add_solar(df.join(places, "point_id"), time="t")

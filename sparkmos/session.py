@@ -15,6 +15,10 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes of bytecode. A wide feature stage
+    # fused into one method exceeds that and would be interpreted; Spark then does better
+    # with one compiled projection per step.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

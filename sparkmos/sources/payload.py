@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmos.functions.common import trunc_ntz
+from sparkmos.functions.common import iso_time, trunc_ntz
 from sparkmos.functions.timefn import to_utc
 from sparkmos.schemas import CLIMATOLOGY_FIELDS, FORECAST_FIELDS, UPPER_AIR_FIELDS
 
@@ -46,12 +46,12 @@ def _explode_hours(raw: DataFrame, variables: list[str], payload: str, tz: str |
     hours = parsed.select(
         *keep,
         "_h",
-        F.get(F.col("_h.time"), F.lit(0)).try_cast("timestamp_ntz").alias("_first"),
+        iso_time(F.get(F.col("_h.time"), F.lit(0))).alias("_first"),
         F.posexplode("_h.time").alias("_pos", "_time"),
     )
     rows = hours.select(
         *keep,
-        F.col("_time").try_cast("timestamp_ntz").alias("valid_time"),
+        iso_time("_time").alias("valid_time"),
         "_first",
         *[F.get(F.col(f"_h.`{v}`"), F.col("_pos")).alias(v) for v in variables],
     ).filter("valid_time IS NOT NULL")
@@ -166,7 +166,7 @@ def ensemble_rows(raw: DataFrame, as_of: Column, payload: str = "payload") -> Da
             return F.filter(values, lambda x: x.isNotNull())
 
         return F.struct(
-            time.try_cast("timestamp_ntz").alias("valid_time"),
+            iso_time(time).alias("valid_time"),
             *[F.get(f"_c_{n}", i).try_cast("double").alias(n) for n in controls],
             *[members(short).alias(f"_m_{short}") for short in MEMBER_VARIABLES],
         )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmos.functions import text, wind
-from sparkmos.functions.common import lookup
+from sparkmos.functions.common import iso_time, lookup
 
 # --- Fixed values: sensor types, page labels, positions, confidences. ---
 SENSOR_TYPES = {
@@ -63,7 +63,7 @@ def recent_readings(readings: DataFrame, sensors: DataFrame, as_of: Column, hour
     """Readings of the last hours of known sensors."""
     since = as_of - F.make_dt_interval(hours=F.lit(hours))
     known = sensors.select(F.col("sensor_id").alias("idsensore")).distinct()
-    return readings.filter(F.col("data").try_cast("timestamp_ntz") > since).join(known, "idsensore", "left_semi")
+    return readings.filter(iso_time("data") > since).join(known, "idsensore", "left_semi")
 
 
 def station_observations(readings: DataFrame, sensors: DataFrame, order: str = "arrival") -> DataFrame:
@@ -78,7 +78,7 @@ def station_observations(readings: DataFrame, sensors: DataFrame, order: str = "
         readings.filter(~state.isin(*INVALID_STATES))
         .select(
             F.col("idsensore").alias("sensor_id"),
-            F.col("data").try_cast("timestamp_ntz").alias("timestamp"),
+            iso_time("data").alias("timestamp"),
             value.alias("value"),
             F.col(order).alias("_order"),
         )
