@@ -241,7 +241,7 @@ SELECT point_id, CAST(day AS VARCHAR) AS day, coalesce(max(n), 0) AS max_run FRO
 def w03(spark, sf):
     p = table(spark, sf, "fx_predictions").withColumn("day", F.to_date("valid_time"))
     order = [F.col("valid_time"), F.col("generated_at").desc(), F.col("id").desc()]
-    return alerts.run_lengths(p, ["point_id", "day"], order, F.col("wind_speed_kn") >= 8)
+    return alerts.run_lengths(p, ["point_id", "day"], order, F.col("wind_speed_kn") >= 8, chunk="valid_time")
 
 
 W4 = sql(f"""WITH {OP_SPINE}, {LAG_SRC}, {lookup_sql(120, 'lagged', True)}, {REF}, {lookup_sql(30, name='own')}

@@ -14,20 +14,39 @@ from sparkmos.operators.keyed import first_per_key
 from sparkmos.operators.serve import hours_of_day, newest_order, prediction_at
 
 
-def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[Column], holds: Column) -> DataFrame:
+def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[Column], holds: Column, chunk: str) -> DataFrame:
     """Longest run of consecutive rows for which ``holds``, per key (0 when there is none).
 
-    Rows that break a run number the runs; the count inside a run is its length.
+    ``chunk`` names a column that only grows along the order, such as the valid time. Rows
+    are numbered inside a chunk; a chunk is then reduced to its length, its leading and
+    trailing run and its longest one, and only these summaries are put in sequence. A key
+    with very many rows is thus never sorted in one task.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ok = F.coalesce(holds, F.lit(False))
-    runs = (
-        df.withColumn("_ok", ok)
-        .withColumn("_run", F.sum((~F.col("_ok")).cast("int")).over(w))
-        .groupBy(*keys, "_run")
-        .agg(F.count(F.when(F.col("_ok"), 1)).alias("_len"))
+    by = [*keys, chunk]
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumn("_ok", F.coalesce(holds, F.lit(False))).withColumn("_run", F.sum((~F.col("_ok")).cast("int")).over(w))
+    # Runs of a chunk: number 0 leads, the highest one trails.
+    runs = rows.groupBy(*by, "_run").agg(F.count(F.when(F.col("_ok"), 1)).alias("_len"))
+    chunks = runs.groupBy(*by).agg(
+        F.max("_run").alias("_breaks"),
+        F.max("_len").alias("_best"),
+        F.max(F.when(F.col("_run") == 0, F.col("_len"))).alias("_lead"),
+        F.max_by("_len", "_run").alias("_trail"),
     )
-    return runs.groupBy(*keys).agg(F.max("_len").alias("max_run"))
+    upto = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = chunks.withColumn("_lead", F.coalesce("_lead", F.lit(0))).withColumn(
+        "_id", F.sum((F.col("_breaks") > 0).cast("int")).over(upto)
+    )
+    # A chunk without a break lengthens the current run by its rows. One with a break ends
+    # the run before it with its leading rows and opens the next with its trailing ones.
+    piece = lambda i, n: F.struct(i.alias("_id"), n.alias("_n"))
+    pieces = F.when(
+        F.col("_breaks") > 0, F.array(piece(F.col("_id") - 1, F.col("_lead")), piece(F.col("_id"), F.col("_trail")))
+    ).otherwise(F.array(piece(F.col("_id"), F.col("_best"))))
+    across = joined.select(*keys, "_best", F.inline(pieces)).groupBy(*keys, "_id").agg(
+        F.sum("_n").alias("_n"), F.max("_best").alias("_best")
+    )
+    return across.groupBy(*keys).agg(F.max(F.greatest("_n", "_best")).alias("max_run"))
 
 
 def active(owned: DataFrame, users: DataFrame, *user_columns: str) -> DataFrame:
@@ -78,7 +97,7 @@ def due_alerts(
         F.col("valid_time") <= as_of + F.make_dt_interval(hours=F.col("lead_window_hours"))
     )
     order = [F.col("valid_time"), F.col("generated_at").desc(), *[F.col(c).desc() for c in tie_break]]
-    longest = run_lengths(ahead, rule, order, F.col("wind_speed_kn") >= F.col("threshold_kn"))
+    longest = run_lengths(ahead, rule, order, F.col("wind_speed_kn") >= F.col("threshold_kn"), chunk="valid_time")
     peak = ahead.groupBy(*rule).agg(
         F.max("wind_speed_kn").alias("peak_kn"),
         F.max_by("valid_time", F.struct("wind_speed_kn", -micros("valid_time"))).alias("peak_time"),

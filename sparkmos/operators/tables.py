@@ -75,6 +75,19 @@ def delete_owned(current: DataFrame, requests: DataFrame, key: Sequence[str]) ->
     return current.join(requests.select(*key), list(key), "left_anti")
 
 
+def in_range(df: DataFrame, time: str, start: Column, end: Column, before: str, after: str = "INTERVAL '0' HOUR") -> DataFrame:
+    """Rows whose time lies within the given margins of [start, end].
+
+    Stored tables are partitioned by ``day``; the same bounds on that column let the scan
+    skip whole days, the bounds on the time skip row groups.
+    """
+    lo, hi = start - F.expr(before), end + F.expr(after)
+    df = df.filter(F.col(time).between(lo, hi))
+    if "day" in df.columns:
+        df = df.filter(F.col("day").between(lo.cast("date"), hi.cast("date")))
+    return df
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkmos import settings as cfg
 from sparkmos.functions import decision, features as ff, timefn, wind
 from sparkmos.functions.solar import add_solar
-from sparkmos.operators import asof, climatology as clim, nearest
+from sparkmos.operators import asof, climatology as clim, nearest, tables
 from sparkmos.settings import Point
 from sparkmos.sources.payload import spread_from_json
 from sparkmos.sources.points import points_df
@@ -218,16 +218,26 @@ def build_features(
     exclude_min: int = 0,
     causal: bool = True,
     years_back: int = clim.YEARS_BACK,
+    start: Column | None = None,
+    end: Column | None = None,
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """Features and targets for every (point_id, t) that has a reference forecast.
 
+    ``start`` and ``end`` bound the samples' times; with them the scans of the stored tables
+    read only the days the look-ups can reach.
+
     ``exclude_min`` keeps the newest observations out of the lookup; by default the
     observation used as feature may be the one the target is made of.
     """
     keys = ["point_id", "t"]
     spark = samples.sparkSession
     base = samples.select(*keys).distinct()
+    if start is not None and end is not None:
+        forecasts = tables.in_range(forecasts, "valid_time", start, end, "INTERVAL '8' HOUR", "INTERVAL '4' HOUR")
+        observations = tables.in_range(observations, "timestamp", start, end, "INTERVAL '73' HOUR")
+        if climatology is not None:
+            climatology = tables.in_range(climatology, "timestamp", start, end, f"INTERVAL '{365 * years_back + 1}' DAY", "INTERVAL '40000' DAY")
     own = forecast_features(base, forecasts, ensembles=ensembles, reference=reference, tie_break=tie_break)
     lags = lagged_forecasts(base, forecasts, reference=reference, causal=causal, tie_break=tie_break)
     obs = observation_columns(

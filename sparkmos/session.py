@@ -51,7 +51,7 @@ def scratch_dir(spark: SparkSession) -> str:
     The cluster names a folder every executor can reach. Only a session in local
     mode, where driver and executors share one disk, may fall back to a temporary one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")

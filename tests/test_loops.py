@@ -164,12 +164,12 @@ def test_foehn_frequency_needs_thirty_days(spark):
     assert r.climatology_foehn_frequency is None and r.n_north_days == 29
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_run_lengths(spark, seed):
+@pytest.mark.parametrize("seed,per_chunk", [(0, 1), (1, 3), (2, 7), (3, 100)])
+def test_run_lengths(spark, seed, per_chunk):
     rnd = random.Random(seed)
     rows = [(k, i, rnd.choice([None, 1.0, 9.0, 9.0])) for k in "abc" for i in range(rnd.randint(1, 30))]
-    df = spark.createDataFrame(rows, "k string, i int, v double")
-    got = {r.k: r.max_run for r in alerts.run_lengths(df, ["k"], [F.col("i")], F.col("v") >= 8).collect()}
+    df = spark.createDataFrame(rows, "k string, i int, v double").withColumn("chunk", F.floor(F.col("i") / per_chunk))
+    got = {r.k: r.max_run for r in alerts.run_lengths(df, ["k"], [F.col("i")], F.col("v") >= 8, "chunk").collect()}
     for k in {r[0] for r in rows}:
         flags = [(v or 0) >= 8 for kk, _, v in rows if kk == k]
         assert got[k] == max((len(list(g)) for ok, g in itertools.groupby(flags) if ok), default=0)
