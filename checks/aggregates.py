@@ -217,7 +217,7 @@ def a29_source(spark, sf):
     return pairs_df(spark, sf).groupBy("is_reanalysis").agg(F.count("*").alias("n"), F.avg("abs_error").alias("mae"), F.avg("error").alias("mean_error"))
 
 
-@query("a30_points_by_sector", """SELECT n_regionkey AS sector, string_agg(n_name, ',' ORDER BY n_name) AS points, count(*) AS n FROM nation GROUP BY 1""")
+@query("a30_points_by_sector", """SELECT CAST(n_regionkey AS BIGINT) AS sector, string_agg(n_name, ',' ORDER BY n_name) AS points, count(*) AS n FROM nation GROUP BY 1""")
 def a30(spark, sf):
     n = raw(spark, sf, "nation").select(F.col("n_regionkey").alias("sector"), F.col("n_name").alias("point_id"))
     return serve.points_by_sector(n).select("sector", F.concat_ws(",", "points").alias("points"), "n")

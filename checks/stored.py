@@ -194,18 +194,18 @@ def k05(spark, sf):
     return tables.promote(table(spark, sf, "fx_model_registry"), "Supplier#000000007").select("model_version", "promoted_to_production")
 
 
-@query("k05_mark_triggered", sql("""SELECT id, threshold_kn, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-20 12:00:00' ELSE last_triggered_at END AS last_triggered_at FROM fx_alerts""", "fx_alerts"))
+@query("k05_mark_triggered", sql("""SELECT id, threshold_kn, CASE WHEN enabled THEN TIMESTAMP '2024-01-20 12:00:00' ELSE last_triggered_at END AS last_triggered_at FROM fx_alerts""", "fx_alerts"))
 def k05_alerts(spark, sf):
     a = table(spark, sf, "fx_alerts")
-    changes = a.filter("id % 3 = 0").select("id", as_of().alias("last_triggered_at"))
+    changes = a.filter("enabled").select("id", as_of().alias("last_triggered_at"))
     return tables.update_from(a, changes, ["id"]).select("id", "threshold_kn", "last_triggered_at")
 
 
-@query("k07_delete_owned", sql("SELECT id, point_id FROM fx_alerts WHERE NOT (id % 10 = 0 AND id % 20 = 0)", "fx_alerts"))
+@query("k07_delete_owned", sql("SELECT a.id, a.point_id FROM fx_alerts a JOIN fx_users u USING (telegram_user_id) WHERE u.is_allowed", "fx_alerts", "fx_users"))
 def k07(spark, sf):
-    """Half of the requests name the wrong owner and delete nothing."""
+    """Every alert is asked to be deleted, but only for users no longer allowed by its owner."""
     a = table(spark, sf, "fx_alerts")
-    asked = a.filter("id % 10 = 0").select("id", (F.col("telegram_user_id") + F.when(F.col("id") % 20 == 0, 0).otherwise(1)).alias("telegram_user_id"))
+    asked = a.join(table(spark, sf, "fx_users"), "telegram_user_id").select(
+        "id", (F.col("telegram_user_id") + F.when(F.col("is_allowed"), 1).otherwise(0)).alias("telegram_user_id")
+    )
     return tables.delete_owned(a, asked, ["id", "telegram_user_id"]).select("id", "point_id")
-
-

@@ -141,6 +141,10 @@ def training_labels(indexed: DataFrame, n_samples: Column | int, n_groups: int,
     This is paths times samples; use ``label_counts`` when only the sizes matter.
     """
     combos = paths(n_groups, n_test)
+    # The size may be a subquery; as a column it is planned once, not once per path.
+    n_col = F.lit(n_samples) if isinstance(n_samples, int) else n_samples
+    sized = indexed.withColumn("_n", n_col)
+    n_samples = F.col("_n")
     grp = group_of(F.col("idx"), n_samples, n_groups)
     per_path = F.array(
         *[
@@ -153,7 +157,7 @@ def training_labels(indexed: DataFrame, n_samples: Column | int, n_groups: int,
             for i, c in enumerate(combos)
         ]
     )
-    return indexed.select("*", F.inline(per_path)).filter("label <> 'test'")
+    return sized.select(*indexed.columns, F.inline(per_path)).filter("label <> 'test'")
 
 
 def label_counts(indexed: DataFrame, n_samples: Column | int, n_groups: int, n_test: int, purge: int, embargo: int) -> DataFrame:
