@@ -179,6 +179,18 @@ def doubles(names: str, digits: int = 6, prefix: str = "") -> str:
 
 as_of = lambda: ts(AS_OF)
 
+
+def session(spark: SparkSession) -> SparkSession:
+    """The library's settings; in local mode also as many shuffle partitions as threads.
+
+    A cluster keeps its own number. Streaming state in particular is opened once per
+    partition, which hundreds of partitions on one machine would only slow down.
+    """
+    prepare(spark)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(4, spark.sparkContext.defaultParallelism)))
+    return spark
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -186,7 +198,7 @@ def query(name: str, oracle: str | None = None):
     """Register a query; its result is tidied."""
 
     def add(fn):
-        REGISTRY[name] = (lambda spark, sf: tidy(fn(prepare(spark), sf)), oracle)
+        REGISTRY[name] = (lambda spark, sf: tidy(fn(session(spark), sf)), oracle)
         return fn
 
     return add
