@@ -13,12 +13,21 @@ from sparkmos.operators import quality
 from sparkmos.session import scratch_dir
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str | None = None, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
+def file_stream(
+    spark: SparkSession, path: str, schema: StructType, glob: str | None = None, files_per_batch: int | None = None,
+    bytes_per_batch: str = "8g", fmt: str = "parquet",
+) -> DataFrame:
+    """Files of a folder as a stream, in micro-batches of bounded size.
+
+    The bound matters to the stateful rules, which order a key's rows of one micro-batch.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.load(path)
 
 
