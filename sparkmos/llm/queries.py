@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import byte_bpe
+from sparkmos.llm import byte_bpe, token_counts
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -25,6 +25,17 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 4096).alias("over_limit"),
+    )
+
+
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = byte_bpe.decode(byte_bpe.encode(read(spark, sf, "documents").select("doc_id", "text")))
