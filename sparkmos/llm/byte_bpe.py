@@ -28,7 +28,7 @@ from sparkmos.llm.frames import map_added, text_blocks, texts, vocabulary
 POS_BITS = 32
 NONE = np.int64(1) << 62
 #: Pretokens and words kept per Python worker, and the longest one kept; more only costs time.
-CACHE = 400_000
+CACHE = 100_000
 CACHED_CHARS = 64
 #: Matches taken from one long text at a time.
 MATCHES = 500_000

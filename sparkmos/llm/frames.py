@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+#: Rows worked on at a time; what a worker holds besides its batch follows it.
+ROWS = 500
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less every column that is named like an output: the operator's own value wins."""
     taken = {n.lower() for n in names}
@@ -33,8 +37,9 @@ def map_added(df: DataFrame, fields: list[T.StructField], make) -> DataFrame:
 
         def seen() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                held.append(b)
-                yield b
+                for at in range(0, b.num_rows, ROWS):
+                    held.append(b.slice(at, ROWS))
+                    yield held[-1]
 
         for made in make(seen()):
             b = held.pop()
