@@ -18,7 +18,7 @@ import numpy as np
 from sparkmos.llm.frames import text_blocks
 
 #: Words kept per Python worker, and the longest one kept; more only costs time.
-CACHE = 400_000
+CACHE = 150_000
 CACHED_CHARS = 64
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
 #: Python takes these for white space, the vocabulary does not.
