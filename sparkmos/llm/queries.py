@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import byte_bpe, packing, token_counts
+from sparkmos.llm import byte_bpe, packing, token_counts, toxicity
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -49,3 +49,17 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+def _crc(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_crc("doc_id") % 4 == 2, F.lit(False))
+    model = toxicity.fit(docs, read(spark, sf, "labels"), held_out=held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )

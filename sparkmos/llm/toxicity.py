@@ -105,10 +105,10 @@ class Landmarks:
     """Landmark words and their subsequence weights, one column each.
 
     They are picked by pivoted Cholesky: each is the word of ``pool`` that those before leave
-    most of unexplained, times its ``weight``.
+    most of unexplained, times its ``weight``. Up to two thirds come from the ``first`` rows.
     """
 
-    def __init__(self, pool: np.ndarray, weight: np.ndarray, most: int):
+    def __init__(self, pool: np.ndarray, weight: np.ndarray, first: int, most: int):
         own = _subsequences(pool)
         found, place = np.unique(own, return_inverse=True)
         place = place.reshape(own.shape)
@@ -123,7 +123,9 @@ class Landmarks:
 
         rest = full = np.array([against(i)[i] for i in range(len(pool))])
         for _ in range(min(most, len(pool))):
-            i = int((weight * rest / full).argmax())
+            left = rest / full
+            own_kind = len(chosen) < 2 * most // 3 and left[:first].max() > 0.1
+            i = int((weight * left)[: first if own_kind else None].argmax())
             if rest[i] <= 1e-3:
                 break
             row = (against(i) - factors @ factors[i]) / np.sqrt(rest[i])
@@ -295,7 +297,7 @@ def train(values: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int
             most = np.argsort(-times)[:600]
             hard = rng.permutation(hard)[:600]
             level = np.concatenate([times[most], np.full(len(hard), np.median(times[most]))])
-            marks = Landmarks(np.concatenate([positive[most], hard]), level, LANDMARKS)
+            marks = Landmarks(np.concatenate([positive[most], hard]), level, len(most), LANDMARKS)
         x = marks.kernel(np.concatenate([positive, negative])) @ marks.root
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         w = _svm(x, y, np.concatenate([times, np.full(len(negative), max(0.2, 4 * times.sum() / len(negative)))]))
