@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import byte_bpe, packing, token_counts, toxicity
+from sparkmos.llm import byte_bpe, language, packing, token_counts, toxicity
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -63,3 +63,13 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_crc("doc_id") % 3 == 1, F.lit(False))
+    filters = language.fit(docs, held_out=held_out)
+    return language.predict(docs.select("doc_id", "text"), filters).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )

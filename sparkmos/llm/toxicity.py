@@ -29,6 +29,7 @@ import dataclasses
 import functools
 import re
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,9 @@ class Landmarks:
         return out**POWER
 
 
+_USED: dict[str, Model] = {}
+
+
 @dataclasses.dataclass
 class Model:
     landmarks: Landmarks | None
@@ -162,6 +166,20 @@ class Model:
 
     def __post_init__(self):
         self.known: dict[str, float] = {}
+        self.key = uuid.uuid4().hex
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, known={})
+
+    def kept(self) -> Model:
+        """The copy that this worker has used before, with the words it knows."""
+        if self.key not in _USED:
+            _USED.clear()
+            _USED[self.key] = self
+        return _USED[self.key]
 
     def values(self, words: list[str]) -> np.ndarray:
         """Decision value of each word."""
@@ -361,7 +379,8 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     """``df`` with the toxicity of every whole text, 0 to 1. No shuffle."""
 
     def make(batches):
+        own = model.kept()
         for b in batches:
-            yield [pa.array(model.score(texts(b, text)), pa.float64())]
+            yield [pa.array(own.score(texts(b, text)), pa.float64())]
 
     return map_added(df, [T.StructField(out, T.DoubleType())], make)
