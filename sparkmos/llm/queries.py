@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import byte_bpe, language, near_dup, packing, token_counts, toxicity
+from sparkmos.llm import ann, byte_bpe, language, near_dup, packing, token_counts, toxicity
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -98,3 +98,22 @@ def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.groups(read(spark, sf, "documents")).select(
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
     )
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op4_nearest", OP4_SQL)
+def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    indexed, center = ann.index(read(spark, sf, "embeddings"))
+    return ann.search(indexed, center, F.col("vec_id") % 100 == 0)
