@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import ann, byte_bpe, language, near_dup, packing, token_counts, toxicity
+from sparkmos.llm import ann, byte_bpe, fingerprint, language, near_dup, packing, token_counts, toxicity
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -117,3 +117,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
     indexed, center = ann.index(read(spark, sf, "embeddings"))
     return ann.search(indexed, center, F.col("vec_id") % 100 == 0)
+
+
+@query("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.with_next(read(spark, sf, "documents"))
