@@ -25,8 +25,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmos.llm.frames import texts
@@ -34,7 +35,6 @@ from sparkmos.llm.frames import texts
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 GRID = 16
-BUCKETS_PER_PARTITION = 1
 
 
 @functools.lru_cache(maxsize=1)
@@ -170,11 +170,11 @@ _MOD = np.array(PRIMES, dtype=np.uint64)[:, None]
 _LIFT = _MOD
 
 
-def _ranges(docs: DataFrame, buckets: int) -> list[int]:
-    """Upper ends of ``buckets`` ranges of ids with about as many rows each."""
+def _ranges(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Upper ends of ``buckets`` ranges of ids with about as many rows each: that many numbers."""
     share = [i / buckets for i in range(1, buckets)]
-    found = docs.select(F.percentile_approx("doc_id", share, 10_000)).first()[0] if share else []
-    return sorted({int(x) for x in found or []})
+    found = docs.select(F.percentile_approx("doc_id", share, max(10_000, 10 * buckets))).first()[0] if share else []
+    return np.unique(np.array(found or [], dtype=np.int64))
 
 
 def with_next(docs: DataFrame, text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -188,34 +188,30 @@ def with_next(docs: DataFrame, text: str = "text", buckets: int | None = None) -
     first row of each range also to the range before it, and a task reads its rows in order:
     one shuffle of the texts, nobody sees more than two documents at a time.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION)
+    n = buckets or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ends = _ranges(rows, n)
-    # Bucket 0 has the largest ids; null ids come behind the last.
-    if ends:
-        points = F.array(*[F.lit(e) for e in ends])
-        above = F.size(F.filter(points, lambda e: e >= F.col("doc_id")))
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(len(ends) + 1)).otherwise(above)
-    else:
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
-    keyed = rows.select("doc_id", "text", bucket.cast("int").alias("bucket"))
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series) -> pd.Series:
+        # Bucket 0 has the largest ids; null ids come behind the last.
+        known = ids.fillna(0).astype("int64").to_numpy()
+        return pd.Series(np.where(ids.isna(), len(ends) + 1, len(ends) - np.searchsorted(ends, known, side="left"))).astype("int32")
+
     tie = F.xxhash64("text")
-    heads = sorted(
-        (r.bucket, r.id, r.tie)
-        for r in keyed.groupBy("bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("id"), tie.alias("tie"))).alias("head")).select("bucket", "head.*").collect()
-    )  # one per bucket
-    if not heads:
-        return spark.createDataFrame([], FINGERPRINTS)
-    before = {b: heads[i - 1][0] for i, (b, _, _) in enumerate(heads)}
-    is_head = F.lit(False)
-    previous = F.lit(None).cast("int")
-    for b, minus_id, tie_ in heads:
-        own = (F.col("bucket") == b) & (tie == F.lit(tie_)) & (F.col("doc_id").isNull() if minus_id is None else F.col("doc_id") == -minus_id)
-        is_head = is_head | own
-        previous = F.when(F.col("bucket") == b, F.lit(before[b])).otherwise(previous)
+    keyed = rows.select("doc_id", "text", tie.alias("tie"), bucket("doc_id").alias("bucket"))
+    # One row per range: its first document, and the range before it.
+    first = keyed.groupBy("bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("id"), "tie")).alias("head"))
+    around = Window.orderBy("bucket")
+    heads = first.select(
+        F.col("bucket").alias("of"), F.col("head.id").alias("head_id"), F.col("head.tie").alias("head_tie"),
+        F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("previous"),
+    )
+    # Broadcast: one row per range, that is per shuffle partition.
+    keyed = keyed.join(F.broadcast(heads), F.col("bucket") == F.col("of"), "left")
+    is_head = F.coalesce((F.col("tie") == F.col("head_tie")) & (-F.col("doc_id")).eqNullSafe(F.col("head_id")), F.lit(False))
     home = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("guest"))
-    guest = F.struct(previous.alias("to"), F.lit(1).alias("guest"))
+    guest = F.struct(F.col("previous").alias("to"), F.lit(1).alias("guest"))
     sent = keyed.select("doc_id", "text", F.explode(F.when(is_head, F.array(home, guest)).otherwise(F.array(home))).alias("s"))
     placed = sent.select("s.to", "s.guest", "doc_id", "text")
     ordered = placed.repartition(n, "to").sortWithinPartitions("to", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
