@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import ann, byte_bpe, fingerprint, language, near_dup, packing, token_counts, toxicity
+from sparkmos.llm import ann, byte_bpe, fingerprint, language, lm_score, near_dup, packing, token_counts, toxicity
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -122,3 +122,50 @@ def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_fingerprints")
 def op7_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.with_next(read(spark, sf, "documents"))
+
+
+OP8_SQL = f"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM benchmark),
+v AS (
+  SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS id
+  FROM (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM t) GROUP BY word ORDER BY n DESC, word LIMIT 1022)),
+tw AS (
+  SELECT x.doc_id, x.i, coalesce(v.id, 0) AS id
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM t) x LEFT JOIN v USING (word)),
+bw AS (
+  SELECT x.item_id, x.i, coalesce(v.id, 0) AS id
+  FROM (SELECT item_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM b) x LEFT JOIN v USING (word)),
+tp AS (SELECT doc_id, coalesce(lag(id) OVER (PARTITION BY doc_id ORDER BY i), 1) AS h, id AS w FROM tw),
+bp AS (SELECT coalesce(lag(id) OVER (PARTITION BY item_id ORDER BY i), 1) AS h, id AS w FROM bw),
+s AS (SELECT (SELECT count(*) FROM bp) / (SELECT count(*) FROM tp)::DOUBLE AS scale),
+gc AS (SELECT h, w, count(*) * (SELECT scale FROM s) AS c FROM tp GROUP BY h, w),
+wc AS (SELECT h, w, count(*)::DOUBLE AS c FROM bp GROUP BY h, w),
+ids AS (SELECT unnest(range(1024)) AS w),
+gu AS (SELECT w, CASE WHEN w = 1 THEN 0.5 ELSE coalesce(sum(c), 0) + 0.5 END AS u FROM ids LEFT JOIN gc USING (w) GROUP BY w),
+wu AS (SELECT w, CASE WHEN w = 1 THEN 0.5 ELSE coalesce(sum(c), 0) + 0.5 END AS u FROM ids LEFT JOIN wc USING (w) GROUP BY w),
+gh AS (SELECT h, sum(c) AS c FROM gc GROUP BY h),
+wh AS (SELECT h, sum(c) AS c FROM wc GROUP BY h),
+p AS (SELECT DISTINCT h, w FROM tp),
+l AS (
+  SELECT p.h, p.w,
+    -ln((coalesce(wc.c, 0) + 50 * wu.u / (SELECT sum(u) FROM wu)) / (coalesce(wh.c, 0) + 50)) AS lt,
+    -ln((coalesce(gc.c, 0) + 50 * gu.u / (SELECT sum(u) FROM gu)) / (coalesce(gh.c, 0) + 50)) AS lb
+  FROM p JOIN gu USING (w) JOIN wu USING (w) LEFT JOIN gc ON gc.h = p.h AND gc.w = p.w LEFT JOIN wc ON wc.h = p.h AND wc.w = p.w
+  LEFT JOIN gh ON gh.h = p.h LEFT JOIN wh ON wh.h = p.h),
+m AS (SELECT doc_id, avg(lt) AS lt, avg(lb) AS lb, avg(lt) - avg(lb) AS d FROM tp JOIN l USING (h, w) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, round(lt, 6) AS loss_target, round(lb, 6) AS loss_background, round(d, 6) AS lm_score
+FROM t LEFT JOIN m USING (doc_id)
+"""
+
+
+@query("op8_lm_score", OP8_SQL)
+def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    scored = lm_score.score(docs, read(spark, sf, "benchmark").select("text"))
+    rounded = [F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "lm_score")]
+    return scored.select("doc_id", "n_words", *rounded)
