@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import ann, byte_bpe, fingerprint, language, lm_score, near_dup, packing, token_counts, toxicity
+from sparkmos.llm import ann, byte_bpe, fingerprint, language, licenses, lm_score, near_dup, packing, token_counts, toxicity
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -169,3 +169,14 @@ def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     scored = lm_score.score(docs, read(spark, sf, "benchmark").select("text"))
     rounded = [F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "lm_score")]
     return scored.select("doc_id", "n_words", *rounded)
+
+
+@query("op3_licenses", licenses.oracle())
+def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.recognise(read(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+        "unmatched",
+    )
