@@ -19,7 +19,7 @@ def file_stream(
 ) -> DataFrame:
     """Files of a folder as a stream, in micro-batches of bounded size.
 
-    The bound matters to the stateful rules, which order a key's rows of one micro-batch.
+    The bound is for memory only: no result depends on it.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:

@@ -1,13 +1,17 @@
 """Rules that need memory per key: rate limit, cool-down, unbroken windy runs.
 
-State is a few numbers per key and is dropped once the watermark has passed its use. Rows of
-one key within a micro-batch are ordered by time, ties by id; the size of a micro-batch is
-bounded by the source's trigger options.
+Rows wait in the key's state until the watermark has passed them and are then judged in the
+order of their event times, ties by id. So the answer does not depend on how the stream is cut
+into micro-batches or on the order of arrival, as long as rows arrive within ``delay``; rows
+later than that are dropped, and the last ``delay`` of a stream waits for more to come.
+
+State per key is the waiting rows, at most those of ``delay``, and a few numbers. It is removed
+when nothing waits and what it remembers cannot matter to any later row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,53 +21,88 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sparkmos import settings as cfg
 
 HOUR_US = 3_600_000_000
+STATE = "us array<bigint>, ids array<bigint>, v array<double>, memory array<bigint>, peak double"
+
+# Judges rows in time order: (key, us, id, value, memory, peak) -> (row or None, memory, peak).
+Judge = Callable[[object, int, int, float, list[int], float], tuple[tuple | None, list[int], float]]
+
+
+def _in_time_order(
+    df: DataFrame,
+    key: str,
+    time: str,
+    row_id: str,
+    delay: str,
+    out: str,
+    judge: Judge,
+    keep_us: Callable[[list[int]], int | None],
+    close: Callable[[object, list[int], float], tuple | None] | None = None,
+    value: str | None = None,
+) -> DataFrame:
+    """``judge`` over the rows of each key in event-time order.
+
+    ``keep_us`` says until which time a key's memory matters (None: for ever); when the
+    watermark has passed that, ``close`` may give a last row and the state is removed.
+    """
+    names = [c.split()[0] for c in out.split(", ")]
 
-
-def _prepared(df: DataFrame, key: str, time: str, row_id: str, delay: str, *extra: str) -> DataFrame:
-    us = F.unix_micros(F.col(time).cast("timestamp"))
-    cols = [F.col(key).alias("key"), F.col(row_id).alias("row_id"), us.alias("us"), *extra]
-    return df.select(*cols, F.col(time).cast("timestamp").alias("event_time")).withWatermark("event_time", delay)
-
-
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = list(batches)
-    rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-    return rows.sort_values(["us", "row_id"], kind="stable")
-
-
-def _expire(state: GroupState, last_us: int, keep_us: int) -> None:
-    due = (last_us + keep_us) // 1000 + 1
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs() * 1000
+        us, ids, v, memory, peak = ([list(x) for x in state.get[:4]] + [state.get[4]]) if state.exists else ([], [], [], [], 0.0)
+        if not state.hasTimedOut:
+            for rows in batches:
+                us += rows["us"].tolist()
+                ids += rows["row_id"].tolist()
+                v += rows["v"].tolist()
+        order = sorted(range(len(us)), key=lambda i: (us[i], ids[i]))
+        done = [i for i in order if us[i] < passed]
+        found = []
+        for i in done:
+            row, memory, peak = judge(k[0], us[i], ids[i], v[i], memory, peak)
+            if row is not None:
+                found.append(row)
+        wait = order[len(done) :]
+        until = keep_us(memory) if memory else 0
+        if not wait and until is not None and until < passed:
+            last = close(k[0], memory, peak) if close and memory else None
+            if last is not None:
+                found.append(last)
+            if state.exists:
+                state.remove()
+        else:
+            state.update(([us[i] for i in wait], [ids[i] for i in wait], [v[i] for i in wait], [int(m) for m in memory], float(peak)))
+            due = us[wait[0]] if wait else until
+            if due is not None:
+                state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if found:
+            yield pd.DataFrame(found, columns=names)
+
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    worth = F.col(value).cast("double") if value else F.lit(0.0)
+    src = df.select(
+        F.col(key).alias("key"), F.col(row_id).cast("bigint").alias("row_id"), at.alias("us"), worth.alias("v"),
+        F.col(time).cast("timestamp").alias("event_time"),
+    ).withWatermark("event_time", delay)
+    kind = dict(src.dtypes)["key"]
+    return src.groupBy("key").applyInPandasWithState(
+        step, out.replace("key key", f"key {kind}"), STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def rate_limit(events: DataFrame, key: str, time: str, row_id: str, per_hour: int = cfg.COMMANDS_PER_HOUR, delay: str = "1 hour") -> DataFrame:
     """Each event with ``accepted``: fewer than ``per_hour`` accepted ones in the hour before.
 
-    Refused events do not count. The state is the times of the last hour's accepted events,
+    Refused events do not count. Remembered are the times of the last hour's accepted events,
     at most ``per_hour`` of them.
     """
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _ordered(batches)
-        recent = list(state.get[0]) if state.exists else []
-        accepted = []
-        for us in rows["us"]:
-            recent = [t for t in recent if us - t < HOUR_US]
-            ok = len(recent) < per_hour
-            if ok:
-                recent.append(int(us))
-            accepted.append(ok)
-        state.update((recent,))
-        _expire(state, int(rows["us"].iloc[-1]), HOUR_US)
-        yield pd.DataFrame({"key": k[0], "row_id": rows["row_id"].to_numpy(), "us": rows["us"].to_numpy(), "accepted": accepted})
-
-    src = _prepared(events, key, time, row_id, delay)
-    kind = dict(src.dtypes)["key"]
-    return src.groupBy("key").applyInPandasWithState(
-        step, f"key {kind}, row_id bigint, us bigint, accepted boolean", "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    def judge(k, us, row_id_, v, recent, peak):
+        recent = [t for t in recent if us - t < HOUR_US]
+        ok = len(recent) < per_hour
+        return (k, row_id_, us, ok), [*recent, us] if ok else recent, peak
+
+    return _in_time_order(
+        events, key, time, row_id, delay, "key key, row_id bigint, us bigint, accepted boolean", judge, lambda recent: recent[-1] + HOUR_US
     )
 
 
@@ -71,53 +110,39 @@ def cool_down(events: DataFrame, key: str, time: str, row_id: str, hours: float
     """Each event with ``fired``: at least ``hours`` since the last one of its key that fired."""
     gap = int(hours * HOUR_US)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _ordered(batches)
-        last = state.get[0] if state.exists else None
-        fired = []
-        for us in rows["us"]:
-            ok = last is None or us - last >= gap
-            if ok:
-                last = int(us)
-            fired.append(ok)
-        state.update((last,))
-        _expire(state, int(last), gap)
-        yield pd.DataFrame({"key": k[0], "row_id": rows["row_id"].to_numpy(), "us": rows["us"].to_numpy(), "fired": fired})
-
-    src = _prepared(events, key, time, row_id, delay)
-    kind = dict(src.dtypes)["key"]
-    return src.groupBy("key").applyInPandasWithState(
-        step, f"key {kind}, row_id bigint, us bigint, fired boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    def judge(k, us, row_id_, v, last, peak):
+        ok = not last or us - last[0] >= gap
+        return (k, row_id_, us, ok), [us] if ok else last, peak
+
+    return _in_time_order(
+        events, key, time, row_id, delay, "key key, row_id bigint, us bigint, fired boolean", judge, lambda last: last[0] + gap
     )
 
 
-def sustained_runs(readings: DataFrame, key: str, time: str, row_id: str, value: str, threshold: float, min_rows: int, delay: str = "1 hour") -> DataFrame:
+def sustained_runs(
+    readings: DataFrame, key: str, time: str, row_id: str, value: str, threshold: float, min_rows: int, delay: str = "1 hour",
+    silence_hours: float | None = None,
+) -> DataFrame:
     """Runs of at least ``min_rows`` consecutive readings at the threshold, when they end.
 
-    A reading below the threshold ends a run, whatever the time between them.
+    A reading below the threshold ends a run, whatever the time between them. With
+    ``silence_hours`` a run also ends when its key has been silent for so long; without it an
+    open run, four numbers, waits for ever.
     """
-    empty = (0, 0, 0, 0.0)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches)
-        n, start, end, peak = state.get if state.exists else empty
-        out = []
-        for us, v in zip(rows["us"], rows["v"], strict=True):
-            if v >= threshold:
-                n, start, end, peak = (n + 1, start, int(us), max(peak, v)) if n else (1, int(us), int(us), float(v))
-            else:
-                if n >= min_rows:
-                    out.append((k[0], n, start, end, float(peak)))
-                n, start, end, peak = empty
-        state.update((n, start, end, float(peak)))
-        yield pd.DataFrame(out, columns=["key", "n", "start_us", "end_us", "peak"])
-
-    src = _prepared(readings.withColumn("v", F.col(value)), key, time, row_id, delay, "v")
-    kind = dict(src.dtypes)["key"]
-    return src.groupBy("key").applyInPandasWithState(
-        step, f"key {kind}, n bigint, start_us bigint, end_us bigint, peak double",
-        "n bigint, start bigint, last bigint, peak double", "append", GroupStateTimeout.NoTimeout,
+    silence = None if silence_hours is None else int(silence_hours * HOUR_US)
+
+    def ended(k, run, peak):
+        return (k, run[0], run[1], run[2], peak) if run and run[0] >= min_rows else None
+
+    def judge(k, us, row_id_, v, run, peak):
+        last = None
+        if silence is not None and run and us - run[2] > silence:
+            last, run, peak = ended(k, run, peak), [], 0.0
+        if v >= threshold:
+            return last, [run[0] + 1, run[1], us] if run else [1, us, us], max(peak, v) if run else v
+        return last or ended(k, run, peak), [], 0.0
+
+    return _in_time_order(
+        readings, key, time, row_id, delay, "key key, n bigint, start_us bigint, end_us bigint, peak double", judge,
+        lambda run: None if silence is None else run[2] + silence, ended, value,
     )
