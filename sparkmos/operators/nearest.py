@@ -1,9 +1,9 @@
 """Nearest-station lookup: the closest observation of a time interval, for fixed points.
 
-The points are configuration (a short list), so the distance to each is computed while the
-observations are scanned, and the scan is reduced at once to the best observation per
-(point, minute). Only that reduced table is shuffled and joined to the requests; the raw
-observations never are, and no station, hour or point can become a hot key.
+Observations are first reduced to the newest per (place, minute), then meet the points, which
+are configuration, and are reduced again to the best per (point, minute). Both reductions
+begin before their shuffle, so no station, hour or point becomes a hot key; only the last
+table is joined to the requests.
 
 Requests must lie on whole minutes. ``on_mark`` separates an observation taken exactly at
 the start of a minute from those later in it, so that a closed upper bound stays exact.
@@ -12,7 +12,6 @@ the start of a minute from those later in it, so that a closed upper bound stays
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from sparkmos.functions.common import MICROS_PER_MINUTE, micros, minute_index
 from sparkmos.functions.geo import haversine_km
 from sparkmos.operators.keyed import first_per_key
 from sparkmos.settings import Point
-from sparkmos.sources.points import MAX_INLINE_POINTS, inline_points
+from sparkmos.sources.points import inline_points
 
 PAYLOAD = ("source", "timestamp", "wind_speed_kn", "wind_dir_deg", "wind_gust_kn")
 
@@ -36,20 +35,16 @@ def best_per_minute(
 ) -> DataFrame:
     """The best observation per (point, minute, on_mark)."""
     cols = dict.fromkeys([*payload, "lat", "lon", *tie_break])
-    obs = observations.select(*cols)
-    # A longer list is inlined block by block; every block scans the observations once.
-    blocks = [points[i : i + MAX_INLINE_POINTS] for i in range(0, len(points), MAX_INLINE_POINTS)]
-    seen = reduce(DataFrame.unionByName, [obs.select("*", F.inline(inline_points(b))) for b in blocks])
-    seen = seen.withColumns(
-        {
-            # A missing coordinate counts as zero.
-            "dist_km": haversine_km(
-                F.col("p_lat"), F.col("p_lon"), F.coalesce("lat", F.lit(0.0)), F.coalesce("lon", F.lit(0.0))
-            ),
-            "o_min": minute_index("timestamp"),
-            "on_mark": F.pmod(micros("timestamp"), F.lit(MICROS_PER_MINUTE)) == 0,
-        }
-    ).drop("p_lat", "p_lon", "lat", "lon")
+    # A missing coordinate counts as zero.
+    place = {c: F.coalesce(c, F.lit(0.0)) for c in ("lat", "lon")}
+    minute = {"o_min": minute_index("timestamp"), "on_mark": F.pmod(micros("timestamp"), F.lit(MICROS_PER_MINUTE)) == 0}
+    # Readings of one place are equally far from any point: only the newest of a minute meets
+    # the points. The rest of the order holds between readings of one place, too.
+    obs = observations.select(*cols).withColumns({**minute, **place})
+    newest = first_per_key(obs, ["lat", "lon", "o_min", "on_mark"], _order(tie_break)[1:])
+    seen = newest.select("*", F.inline(inline_points(points)))
+    seen = seen.withColumn("dist_km", haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")))
+    seen = seen.drop("p_lat", "p_lon", "lat", "lon")
     best = first_per_key(seen, ["point_id", "o_min", "on_mark"], _order(tie_break))
     return best.withColumn("bucket", F.floor(F.col("o_min") / 60))
 

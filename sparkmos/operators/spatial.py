@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,25 +24,33 @@ RING_FIELDS = {
     "temperature": "temperature_2m",
 }
 # --- End of fixed values. ---
+KM_PER_DEGREE = 111.1  # of latitude, and of longitude on the equator; a little less than either
 
 
 def ring_sources(centres: DataFrame, points: Sequence[Point], radius_km: float = 20.0, max_km: float = 25.0) -> DataFrame:
-    """For every ring position of every centre: the nearest stored point within ``max_km``."""
+    """For every ring position of every centre: the nearest stored point within ``max_km``.
+
+    Points and positions meet in cells of the globe whose edges are at least ``max_km`` long;
+    a position looks into its own cell and those around it. Works up to 85 degrees latitude.
+    """
     ring = centres.select(
         F.col("point_id").alias("centre_id"), F.inline(geo.compass_ring(F.col("lat"), F.col("lon"), radius_km))
     )
-    ranked = F.array_min(
-        F.transform(
-            inline_points(points),
-            lambda p: F.struct(
-                geo.haversine_km(F.col("lat"), F.col("lon"), p["p_lat"], p["p_lon"]).alias("km"),
-                p["point_id"].alias("point_id"),
-            ),
-        )
-    )
-    return ring.withColumn("_near", ranked).filter(F.col("_near.km") <= max_km).select(
-        "centre_id", "direction", F.col("_near.point_id").alias("point_id"), F.col("_near.km").alias("km")
-    )
+    edge_lat = max_km / KM_PER_DEGREE
+    columns = max(1, math.floor(360.0 * KM_PER_DEGREE * math.cos(math.radians(85)) / max_km))
+    row = lambda lat: F.floor(lat / edge_lat)
+    column = lambda lon: F.floor((lon + 180.0) / 360.0 * columns)
+    beside = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    stored = centres.sparkSession.range(1).select(F.inline(inline_points(points)))
+    stored = stored.select("point_id", "p_lat", "p_lon", row(F.col("p_lat")).alias("_y"), F.pmod(column(F.col("p_lon")), F.lit(columns)).alias("_x"))
+    looks = ring.withColumn("_dy", F.explode(beside)).withColumn("_dx", F.explode(beside)).select(
+        "centre_id", "direction", "lat", "lon", (row(F.col("lat")) + F.col("_dy")).alias("_y"),
+        F.pmod(column(F.col("lon")) + F.col("_dx"), F.lit(columns)).alias("_x"),
+    ).distinct()
+    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+    near = looks.join(stored, ["_y", "_x"]).withColumn("km", km).filter(F.col("km") <= max_km)
+    best = near.groupBy("centre_id", "direction").agg(F.min(F.struct("km", "point_id")).alias("_near"))
+    return best.select("centre_id", "direction", F.col("_near.point_id").alias("point_id"), F.col("_near.km").alias("km"))
 
 
 def ring_forecasts(
@@ -55,7 +64,7 @@ def ring_forecasts(
     """
     sources = ring_sources(centres, points, radius_km, max_km)
     used = sources.select("point_id").distinct()
-    requests = times.select("t").distinct().withColumn("point_id", F.explode(F.array(*[F.lit(p.point_id) for p in points])))
+    requests = times.select("t").distinct().select("t", F.inline(inline_points(points))).select("t", "point_id")
     requests = requests.join(used, "point_id", "left_semi")
     found = reference_forecast(requests, forecasts, list(RING_FIELDS.values()), 60, cfg.REFERENCE_MODEL, tie_break=tie_break)
     return found.join(sources, "point_id").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,6 @@ from pyspark.sql import functions as F
 
 from sparkmos.settings import POINTS, Point
 
-# Above this many points an inlined literal array would bloat the plan; callers join instead.
-MAX_INLINE_POINTS = 64
-
 
 def points_df(spark: SparkSession, points: Sequence[Point] = POINTS) -> DataFrame:
     """Points as an inline table, so the optimizer knows its exact (small) size."""
@@ -26,11 +24,6 @@ def operational(points: DataFrame) -> DataFrame:
 
 
 def inline_points(points: Sequence[Point]) -> Column:
-    if len(points) > MAX_INLINE_POINTS:
-        raise ValueError(f"{len(points)} points are too many to inline")
-    return F.array(
-        *[
-            F.struct(F.lit(p.point_id).alias("point_id"), F.lit(p.lat).alias("p_lat"), F.lit(p.lon).alias("p_lon"))
-            for p in points
-        ]
-    )
+    """The points as one literal array of structs, whatever their number."""
+    rows = json.dumps([{"point_id": p.point_id, "p_lat": p.lat, "p_lon": p.lon} for p in points])
+    return F.from_json(F.lit(rows), "array<struct<point_id: string, p_lat: double, p_lon: double>>")

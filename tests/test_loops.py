@@ -80,13 +80,10 @@ def test_nearest_observation(spark, min_age, max_age):
     assert got == want and want
 
 
-def test_nearest_observation_with_more_points_than_one_block(spark, monkeypatch):
-    from sparkmos.operators import nearest as module
-
+def test_nearest_observation_with_a_thousand_points(spark):
     obs = spark.createDataFrame([(1, "s", T0, 46.1, 9.3)], "id bigint, source string, timestamp timestamp_ntz, lat double, lon double")
-    points = [Point(f"p{i}", 46.0 + i / 100, 9.3) for i in range(5)]
+    points = [Point(f"p{i}", 46.0 + i / 1000, 9.3) for i in range(1000)]
     req = spark.createDataFrame([(p.point_id, T0) for p in points], "point_id string, t timestamp_ntz")
-    monkeypatch.setattr(module, "MAX_INLINE_POINTS", 2)
     got = nearest.nearest_observation(req, obs, points, max_age_min=60, payload=["id", "source", "timestamp"])
     assert {r.point_id for r in got.collect()} == {p.point_id for p in points}
 
