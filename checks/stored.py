@@ -130,15 +130,17 @@ def k01(spark, sf):
     return tables.upsert(stored, batch, schemas.FORECAST_KEY, "seq", keep=["id"]).select("id", *schemas.FORECAST_KEY, *FC.split())
 
 
-@query("k01_upsert_stored", sql(f"""SELECT id, {FKEY}, {doubles(FC)} FROM (
-SELECT *, row_number() OVER (PARTITION BY {FKEY} ORDER BY (id % 3 = 0)::INT DESC, id DESC) AS rn FROM fx_forecast_runs) WHERE rn = 1""", "fx_forecast_runs"))
+@query("k01_upsert_stored", sql(f"""WITH split AS (SELECT *, (id % 3 = 0)::INT AS gen FROM fx_forecast_runs),
+won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {FKEY} ORDER BY gen DESC, id DESC) AS rn FROM split) WHERE rn = 1),
+old AS (SELECT {FKEY}, max(id) AS old_id FROM split WHERE gen = 0 GROUP BY ALL)
+SELECT coalesce(old_id, id) AS id, {', '.join('won.' + k for k in schemas.FORECAST_KEY)}, {doubles(FC)} FROM won LEFT JOIN old USING ({FKEY})""", "fx_forecast_runs"))
 def k01_stored(spark, sf):
-    """The same through files: first batch, second batch, and the second once more."""
+    """The same through files: first batch, second batch, and the second once more; old ids stay."""
     f = table(spark, sf, "fx_forecast_runs").withColumn("seq", F.col("id"))
     path = scratch_dir(spark)
     second = f.filter("id % 3 = 0")
     for batch in (f.filter("id % 3 <> 0"), second, second):
-        tables.upsert_path(spark, path, batch, schemas.FORECAST_KEY, "seq", "valid_time")
+        tables.upsert_path(spark, path, batch, schemas.FORECAST_KEY, "seq", "valid_time", keep=["id"])
     return spark.read.parquet(path).select("id", *schemas.FORECAST_KEY, *FC.split())
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmos.operators.keyed import first_per_key
@@ -22,17 +22,19 @@ def upsert(current: DataFrame, batch: DataFrame, key: Sequence[str], order: str,
     Within the batch the row with the highest ``order`` wins. Columns in ``keep`` (a
     surrogate id) keep their stored value.
     """
-    newest = first_per_key(batch, key, [F.col(order).desc()])
     cols = [c for c in current.columns if c != order]
-    old = current.select(*cols, F.lit(0).alias("_gen"))
-    new = newest.select(*cols, F.lit(1).alias("_gen"))
+    kind = batch.schema[order].dataType
+    old = current.select(*cols, F.lit(0).alias("_gen"), F.lit(None).cast(kind).alias("_order"))
+    new = batch.select(*cols, F.lit(1).alias("_gen"), F.col(order).alias("_order"))
     both = old.unionByName(new)
-    winner = first_per_key(both, key, [F.col("_gen").desc()]).drop("_gen")
-    if not keep:
-        return winner
-    kept = current.select(*key, *[F.col(c).alias(f"_old_{c}") for c in keep])
-    out = winner.join(kept, list(key), "left")
-    return out.withColumns({c: F.coalesce(f"_old_{c}", c) for c in keep}).select(*cols)
+    if keep:
+        # The stored value comes from the same window as the rank: one shuffle, one sort.
+        per_key = Window.partitionBy(*key)
+        both = both.withColumns(
+            {f"_old_{c}": F.max(F.when(F.col("_gen") == 0, F.col(c))).over(per_key) for c in keep}
+        )
+    winner = first_per_key(both, key, [F.col("_gen").desc(), F.col("_order").desc()])
+    return winner.withColumns({c: F.coalesce(f"_old_{c}", c) for c in keep}).select(*cols) if keep else winner.select(*cols)
 
 
 def last_wins(batch: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -75,13 +77,17 @@ def delete_owned(current: DataFrame, requests: DataFrame, key: Sequence[str]) ->
     return current.join(requests.select(*key), list(key), "left_anti")
 
 
-def in_range(df: DataFrame, time: str, start: Column, end: Column, before: str, after: str = "INTERVAL '0' HOUR") -> DataFrame:
-    """Rows whose time lies within the given margins of [start, end].
+def in_range(df: DataFrame, time: str, start: Column, end: Column | None, before: str, after: str = "INTERVAL '0' HOUR") -> DataFrame:
+    """Rows whose time lies within the given margins of [start, end]; without ``end``, from start on.
 
     Stored tables are partitioned by ``day``; the same bounds on that column let the scan
     skip whole days, the bounds on the time skip row groups.
     """
-    lo, hi = start - F.expr(before), end + F.expr(after)
+    lo = start - F.expr(before)
+    if end is None:
+        df = df.filter(F.col(time) >= lo)
+        return df.filter(F.col("day") >= lo.cast("date")) if "day" in df.columns else df
+    hi = end + F.expr(after)
     df = df.filter(F.col(time).between(lo, hi))
     if "day" in df.columns:
         df = df.filter(F.col("day").between(lo.cast("date"), hi.cast("date")))
@@ -92,20 +98,24 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def upsert_path(spark: SparkSession, path: str, batch: DataFrame, key: Sequence[str], order: str, day_of: str) -> None:
+def upsert_path(
+    spark: SparkSession, path: str, batch: DataFrame, key: Sequence[str], order: str, day_of: str, keep: Sequence[str] = ()
+) -> None:
     """Upsert into a Parquet table partitioned by ``day`` = date of ``day_of``.
 
-    ``day_of`` is part of the key, so a row never moves to another partition and only the
-    touched days are read and rewritten. Writing the same batch again changes nothing.
+    ``day_of`` is part of the key, so a row never moves to another partition. The batch's
+    distinct days go into the scan of the table as a list, so that only these partitions are
+    read and rewritten. Writing the same batch again changes nothing.
     """
     batch = materialize(batch.withColumn("day", F.to_date(day_of)))
     if not _exists(spark, path):
         last_wins(batch, key, order).drop(order).write.partitionBy("day").parquet(path)
         return
     current = spark.read.parquet(path)
-    touched = batch.select("day").distinct()
-    old = current.join(touched, "day", "left_semi")
-    merged = materialize(upsert(old, batch, key, order))
+    # One date per day of the batch: as many as partitions are rewritten anyway.
+    days = [r["day"] for r in batch.select("day").distinct().collect()]
+    old = current.filter(F.col("day").isin([d for d in days if d is not None]) | (F.col("day").isNull() & F.lit(None in days)))
+    merged = materialize(upsert(old, batch, key, order, keep))
     merged.select(*current.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "day"
     ).parquet(path)

@@ -98,3 +98,32 @@ def test_materialized_results_survive_and_keep_their_schema(spark):
     df = spark.createDataFrame([(1, datetime(2024, 1, 1), None)], "a int, t timestamp_ntz, x double")
     out = materialize(df)
     assert out.schema == df.schema and out.collect() == df.collect()
+
+
+def test_stored_upsert_reads_only_touched_days(spark, monkeypatch):
+    """The day list of the batch is a partition filter of the scan."""
+    t0 = datetime(2024, 1, 1)
+    kind = "id bigint, k string, at timestamp_ntz, seq bigint"
+    path, seen = scratch_dir(spark), []
+    tables.upsert_path(spark, path, spark.createDataFrame([(i, "a", t0 + timedelta(days=i), i) for i in range(9)], kind), ["k", "at"], "seq", "at", keep=["id"])
+    whole = tables.upsert
+    monkeypatch.setattr(tables, "upsert", lambda old, *a: seen.append(old) or whole(old, *a))
+    tables.upsert_path(spark, path, spark.createDataFrame([(100, "a", t0 + timedelta(days=4), 1)], kind), ["k", "at"], "seq", "at", keep=["id"])
+    assert "= 2024-01-05" in plan(seen[0]).split("PartitionFilters:")[1].split("]")[0]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(9))  # the old id stays
+
+
+def test_ring_takes_any_number_of_points(spark):
+    from sparkmos.functions.geo import haversine_km  # noqa: F401  the same distance as the look-up's
+    from sparkmos.operators import spatial
+    from sparkmos.settings import Point
+    from sparkmos.sources.points import points_df
+
+    points = [Point(f"p{i}", 45.0 + (i % 40) / 10, 8.0 + (i // 40) / 8) for i in range(1000)]
+    centres = points_df(spark, points[500:503])
+    got = {(r.centre_id, r.direction): (r.point_id, round(r.km, 6)) for r in spatial.ring_sources(centres, points).collect()}
+    ring = centres.select(F.col("point_id").alias("c"), F.inline(spatial.geo.compass_ring(F.col("lat"), F.col("lon"), 20.0)))
+    every = ring.select("c", "direction", "lat", "lon", F.inline(spatial.inline_points(points)))
+    every = every.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where("km <= 25")
+    want = {(r.c, r.direction): (r.m.point_id, round(r.m.km, 6)) for r in every.groupBy("c", "direction").agg(F.min(F.struct("km", "point_id")).alias("m")).collect()}
+    assert got == want and len(got) == 27
