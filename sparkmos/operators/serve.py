@@ -31,8 +31,8 @@ def latest_per_point(predictions: DataFrame, n: int, tie_break: Sequence[str] =
 
 def latest_at(predictions: DataFrame, target: Column, tolerance_s: int = 3600, tie_break: Sequence[str] = ()) -> DataFrame:
     """Per point the newest prediction less than ``tolerance_s`` from the target time."""
-    us = F.lit(tolerance_s * 1_000_000)
-    near = predictions.filter(F.abs(micros("valid_time") - micros(target)) < us)
+    reach = F.make_dt_interval(secs=F.lit(float(tolerance_s)))
+    near = predictions.filter((F.col("valid_time") > target - reach) & (F.col("valid_time") < target + reach))
     return first_per_key(near, ["point_id"], [F.col("generated_at").desc(), *[F.col(c).desc() for c in tie_break]])
 
 

@@ -65,7 +65,7 @@ def decision_hit(predicted: Column, observed: Column) -> Column:
 def accuracy_report(pairs: DataFrame, as_of: Column) -> DataFrame:
     """Per point over the last 30 days: errors, their split by source, decision hits."""
     age = (micros(as_of) - micros("valid_time")) / 86400e6
-    recent = pairs.filter(age <= 30)
+    recent = pairs.filter(F.col("valid_time") >= as_of - F.make_dt_interval(days=F.lit(30)))
     week = F.when(age <= 7, F.col("abs_error"))
     hit = F.when(in_decision_hours("valid_time"), decision_hit(F.col("wind_speed_kn"), F.col("obs_speed")))
     return recent.groupBy("point_id").agg(
@@ -89,10 +89,9 @@ def error_histogram(pairs: DataFrame, bins: int = 30, keys: Sequence[str] = ())
     if keys:
         both = pairs.select(*keys, "error").join(bounds, list(keys))
     else:
-        # One row of bounds; read as scalar subqueries, so no join is needed.
-        both = pairs.select("error").withColumns(
-            {"lo": bounds.select("lo").scalar(), "hi": bounds.select("hi").scalar()}
-        )
+        # One row of bounds; read as one scalar subquery, so no join is needed.
+        one = bounds.select(F.struct("lo", "hi").alias("b")).scalar()
+        both = pairs.select("error").withColumn("_b", one).select("error", "_b.lo", "_b.hi")
     index = F.when(width > 0, F.least(F.floor((F.col("error") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
     return both.groupBy(*keys, index.alias("bin")).agg(
         F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")

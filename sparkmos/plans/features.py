@@ -237,7 +237,7 @@ def build_features(
         forecasts = tables.in_range(forecasts, "valid_time", start, end, "INTERVAL '8' HOUR", "INTERVAL '4' HOUR")
         observations = tables.in_range(observations, "timestamp", start, end, "INTERVAL '73' HOUR")
         if climatology is not None:
-            climatology = tables.in_range(climatology, "timestamp", start, end, f"INTERVAL '{365 * years_back + 1}' DAY", "INTERVAL '40000' DAY")
+            climatology = tables.in_range(climatology, "timestamp", start, None, f"INTERVAL '{365 * years_back + 1}' DAY")
     own = forecast_features(base, forecasts, ensembles=ensembles, reference=reference, tie_break=tie_break)
     lags = lagged_forecasts(base, forecasts, reference=reference, causal=causal, tie_break=tie_break)
     obs = observation_columns(

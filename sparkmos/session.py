@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -45,18 +46,23 @@ def build(app: str = "sparkmos", master: str | None = None, **conf: str) -> Spar
     return prepare(builder.getOrCreate())
 
 
+@functools.lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="sparkmos-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The cluster names a folder every executor can reach. Only a session in local
-    mode, where driver and executors share one disk, may fall back to a temporary one.
+    The cluster names a folder every executor can reach; without one a cluster session
+    cannot go on. In local mode, where driver and executors share one disk, a temporary
+    folder of this process stands in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="sparkmos-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return os.path.join(root, uuid.uuid4().hex) if "://" not in root else f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
