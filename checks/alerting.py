@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fx import as_of, doubles, query, r, sql, table
 from checks.lookups import TB
+from checks.scalars import SHORE_EDGES
 from sparkmos.operators import alerts, health, serve, spatial
 from sparkmos.sources import backfill
 
@@ -94,26 +95,29 @@ def d19(spark, sf):
     return backfill.chunks(health.recovery_ranges(e, now), "start", "end", 30).select("dataset", "chunk_start", "chunk_end")
 
 
-@query("d20_incremental_ranges", sql("""SELECT p.point_id, coalesce(max(c.timestamp) + INTERVAL '1' HOUR, TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '1095' DAY) AS "start" FROM fx_points p
-LEFT JOIN (SELECT * FROM fx_climatology WHERE point_id <> 'lugano') c USING (point_id) GROUP BY 1""", "fx_climatology"))
+@query("d20_incremental_ranges", sql("""SELECT p.point_id, coalesce(max(c.timestamp) + INTERVAL '1' HOUR, TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '1095' DAY) AS "start"
+FROM (SELECT point_id FROM fx_points UNION ALL SELECT 'new_point') p LEFT JOIN fx_climatology c USING (point_id) GROUP BY 1""", "fx_climatology"))
 def d20(spark, sf):
-    """One point has no history yet."""
-    stored = table(spark, sf, "fx_climatology").filter("point_id <> 'lugano'")
-    return backfill.incremental_ranges(table(spark, sf, "fx_points"), stored, as_of()).select("point_id", "start")
+    """All points and one that has no history yet."""
+    points = table(spark, sf, "fx_points")
+    new = points.limit(1).withColumn("point_id", F.lit("new_point"))
+    return backfill.incremental_ranges(points.unionByName(new), table(spark, sf, "fx_climatology"), as_of()).select("point_id", "start")
 
 
-RES = 15
+RES = 150
 LON, LAT = (9.275, 9.330), (46.045, 46.165)
-D22 = sql(f"""WITH v AS (SELECT date_trunc('day', valid_time) AS day, p.lat, p.lon, p.point_id, sum(wind_speed_kn) AS s, count(*) AS n FROM fx_predictions JOIN fx_points p USING (point_id) WHERE is_operational GROUP BY ALL),
-cell AS (SELECT ix, iy, {LON[0]} + ({LON[1]} - {LON[0]})::DOUBLE / {RES - 1} * ix AS x, {LAT[0]} + ({LAT[1]} - {LAT[0]})::DOUBLE / {RES - 1} * iy AS y FROM range(0, {RES}) a(ix) CROSS JOIN range(0, {RES}) b(iy))
-SELECT day, ix, iy, {r('sum(s / greatest(pow(x - lon, 2) + pow(y - lat, 2), 1e-12)) / sum(n / greatest(pow(x - lon, 2) + pow(y - lat, 2), 1e-12))')} AS wind_speed_kn FROM v CROSS JOIN cell GROUP BY ALL""", "fx_points", "fx_predictions")
+D22 = sql(f"""WITH {SHORE_EDGES},
+val AS (SELECT date_trunc('day', valid_time) AS day, p.lat, p.lon, p.point_id, sum(wind_speed_kn) AS s, count(*) AS n FROM fx_predictions JOIN fx_points p USING (point_id) WHERE is_operational GROUP BY ALL),
+cell AS (SELECT ix, iy, {LON[0]} + ({LON[1]} - {LON[0]})::DOUBLE / {RES - 1} * ix AS x, {LAT[0]} + ({LAT[1]} - {LAT[0]})::DOUBLE / {RES - 1} * iy AS y FROM range(0, {RES}) a(ix) CROSS JOIN range(0, {RES}) b(iy)),
+wet AS (SELECT ix, iy, x, y FROM cell CROSS JOIN e WHERE (y1 > y) <> (y2 > y) AND x < (x1 - x2) * (y - y2) / (y1 - y2) + x2 GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT day, ix, iy, {r('sum(s / greatest(pow(x - lon, 2) + pow(y - lat, 2), 1e-12)) / sum(n / greatest(pow(x - lon, 2) + pow(y - lat, 2), 1e-12))')} AS wind_speed_kn FROM val CROSS JOIN wet GROUP BY ALL""", "fx_points", "fx_predictions")
 
 
 @query("d22_gridded_field", D22)
 def d22(spark, sf):
     p = serve.enrich_with_points(table(spark, sf, "fx_predictions"), table(spark, sf, "fx_points").filter("is_operational"))
     p = p.withColumn("day", F.date_trunc("day", "valid_time").cast("timestamp_ntz"))
-    return spatial.gridded_field(p, ["day"], lon=LON, lat=LAT, resolution=RES, mask=False).select("day", "ix", "iy", "wind_speed_kn")
+    return spatial.gridded_field(p, ["day"], lon=LON, lat=LAT).select("day", "ix", "iy", "wind_speed_kn")
 
 
 SLA = "CASE source WHEN 'open_meteo' THEN 60 WHEN 'open_meteo_ensemble' THEN 60 WHEN 'domaso_live' THEN 20 WHEN 'arpa_lombardia' THEN 30 WHEN 'era5_reanalysis' THEN 300 WHEN 'diy_buoy' THEN 5 ELSE 60 END"

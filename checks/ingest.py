@@ -292,10 +292,12 @@ def s11(spark, sf):
     return stations.page_observations(station_pages(spark, sf))
 
 
-@query("s11_station_page_crawl", """SELECT count(*) AS n_pages, CAST(0 AS BIGINT) AS n_observations FROM pages""")
+@query("s11_station_page_crawl", """SELECT count(*) AS n_pages, count(*) FILTER (page_id % 7 = 3) AS n_observations FROM pages""")
 def s11_crawl(spark, sf):
-    """The crawled pages carry no wind table, so none gives an observation."""
-    pages = raw(spark, sf, "pages").select("page_id", "html", as_of().alias("fetched_at"))
+    """Every seventh crawled page gets a wind table put in; these pages and no others give observations."""
+    wind = F.lit('<table><tr><td class="des2">Vento:</td></tr><tr><td>11&nbsp;km/h</td></tr></table>')
+    html = F.when(F.col("page_id") % 7 == 3, F.concat(F.coalesce("html", F.lit("")), wind)).otherwise(F.col("html"))
+    pages = raw(spark, sf, "pages").select("page_id", html.alias("html"), as_of().alias("fetched_at"))
     n = stations.page_observations(pages).agg(F.count("*").alias("n")).scalar()
     return pages.agg(F.count("*").alias("n_pages")).withColumn("n_observations", n)
 

@@ -264,10 +264,11 @@ def f36(spark, sf):
 
 WATER = [(x, y) for x, y in geo.SHORELINE]
 POLY = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(WATER))
-F39 = sql(f"""WITH v AS (SELECT i, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES {POLY}) t(i, x, y)),
-e AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.i = (a.i + 1) % {len(WATER)}),
+SHORE_EDGES = f"""v AS (SELECT i, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES {POLY}) t(i, x, y)),
+e AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.i = (a.i + 1) % {len(WATER)})"""
+F39 = sql(f"""WITH {SHORE_EDGES},
 o AS (SELECT DISTINCT lat, lon FROM fx_observations),
-d AS (SELECT lat, lon, count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND lon < (x1 - x2) * (lat - y2) / (y1 - y2 + 1e-15) + x2) % 2 = 1 AS on_water,
+d AS (SELECT lat, lon, count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND lon < (x1 - x2) * (lat - y2) / (y1 - y2) + x2) % 2 = 1 AS on_water,
   min(sqrt(pow(lon - (x1 + greatest(0, least(1, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (x2 - x1)), 2)
     + pow(lat - (y1 + greatest(0, least(1, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (y2 - y1)), 2))) * 111000 AS m FROM o CROSS JOIN e GROUP BY ALL)
 SELECT {doubles('lat lon')}, on_water, {r('m', 3)} AS distance_m, CASE WHEN on_water THEN 'on_water' WHEN m < 300 THEN 'near_shore' ELSE 'on_land' END AS status FROM d""", "fx_observations")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fx import TABLES, _order, _Paths, as_of, doubles, query, r, raw, sql
+from checks.fx import TABLES, _order, _Paths, as_of, doubles, query, r, raw, sql, table
 from checks.lookups import PAIRS
 from checks.stored import LIMITED, OBS, kept, BAD
 from sparkmos import settings as cfg
@@ -37,10 +37,14 @@ def t01(spark, sf):
     return to_files(sources.clean_observations(stream(spark, sf, "fx_observations"))).select("id", "source", *LIMITED, "quality_flag")
 
 
-@query("t02_stream_deduplicate", sql("SELECT DISTINCT source, date_trunc('hour', timestamp) AS hr, lat, lon FROM fx_observations", "fx_observations"))
+@query("t02_stream_deduplicate", sql("SELECT source, date_trunc('hour', timestamp) AS hr, lat, lon, true AS is_its_row FROM fx_observations GROUP BY ALL", "fx_observations"))
 def t02(spark, sf):
+    """One row per key, and that row is one of the table's own, whole."""
     o = stream(spark, sf, "fx_observations").withColumn("hr", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
-    return to_files(keyed.deduplicate(o, ["source", "hr", "lat", "lon"], "timestamp", "1 hour")).select("source", "hr", "lat", "lon")
+    kept_rows = to_files(keyed.deduplicate(o, ["source", "hr", "lat", "lon"], "timestamp", "1 hour"))
+    own = table(spark, sf, "fx_observations").select("id", "source", "timestamp", "lat", "lon", F.lit(True).alias("is_its_row"))
+    found = kept_rows.join(own, ["id", "source", "timestamp", "lat", "lon"], "left")
+    return found.select("source", "hr", "lat", "lon", F.coalesce("is_its_row", F.lit(False)).alias("is_its_row"))
 
 
 @query("t03_stream_upsert", sql(f"""SELECT id, source, hr, {doubles('lat lon')}, {doubles(OBS)} FROM (SELECT *, date_trunc('hour', timestamp) AS hr,

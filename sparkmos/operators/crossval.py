@@ -161,9 +161,16 @@ def training_labels(indexed: DataFrame, n_samples: Column | int, n_groups: int,
 
 
 def label_counts(indexed: DataFrame, n_samples: Column | int, n_groups: int, n_test: int, purge: int, embargo: int) -> DataFrame:
-    return training_labels(indexed.select("idx"), n_samples, n_groups, n_test, purge, embargo).groupBy("path_id").agg(
-        *[F.count(F.when(F.col("label") == lab, 1)).alias(f"n_{lab}") for lab in ("train", "purged", "embargo")]
-    )
+    """Training samples of every path by label: one pass over the samples, a sum per path and label."""
+    combos, labels = paths(n_groups, n_test), ("train", "purged", "embargo")
+    sized = indexed.select("idx").withColumn("_n", F.lit(n_samples) if isinstance(n_samples, int) else n_samples)
+    grp = group_of(F.col("idx"), F.col("_n"), n_groups)
+    sums = []
+    for i, c in enumerate(combos):
+        label = F.when(~grp.isin(*c), purge_label(F.col("idx"), F.col("_n"), c, n_groups, purge, embargo))
+        sums += [F.count(F.when(label == lab, 1)).alias(f"{lab}_{i}") for lab in labels]
+    rows = [F.struct(F.lit(i).alias("path_id"), *[F.col(f"{lab}_{i}").alias(f"n_{lab}") for lab in labels]) for i in range(len(combos))]
+    return sized.agg(*sums).select(F.inline(F.array(*rows)))
 
 
 METRICS = {

@@ -11,6 +11,7 @@ from sparkmos import settings as cfg
 from sparkmos.functions import decision, wind
 from sparkmos.functions.common import micros, rnd
 from sparkmos.functions.timefn import local, to_utc
+from sparkmos.operators import tables
 from sparkmos.operators.asof import nearest_in_time, reference_forecast
 from sparkmos.operators.keyed import first_per_key
 
@@ -37,10 +38,14 @@ def latest_at(predictions: DataFrame, target: Column, tolerance_s: int = 3600, t
 
 
 def prediction_at(targets: DataFrame, predictions: DataFrame, request_id: Sequence[str], tie_break: Sequence[str] = (), tolerance_s: int = 3600) -> DataFrame:
-    """Per request (point_id, target) the prediction nearest in time, newest first on ties."""
+    """Per request (point_id, target) the prediction nearest in time, newest first on ties.
+
+    Only the days that the targets can reach are read.
+    """
+    reach = f"INTERVAL '{tolerance_s}' SECOND"
     return nearest_in_time(
         targets,
-        predictions,
+        tables.within(predictions, "valid_time", targets, "target", reach, reach),
         keys=["point_id"],
         request_time="target",
         row_time="valid_time",

@@ -122,9 +122,9 @@ def gridded_field(
     """Inverse-distance field on a regular grid, per key (for instance per valid time).
 
     Values at the same place are summed first, since they share their weights. Every place
-    is then spread over the grid's cells, and the weighted sums are combined on the map
-    side, so a task ships at most one row per (key, cell). Work is places times cells; the
-    number of cells is fixed. With ``mask`` only cells on the water are kept.
+    is then spread over the grid's columns, these are dealt out, and each task sums the cells
+    of its columns. Work is places times cells; the number of cells is fixed. With ``mask``
+    only cells on the water are kept.
     """
 
     def axis(lo: float, hi: float, index: Column) -> Column:
@@ -136,7 +136,11 @@ def gridded_field(
         .groupBy(*keys, "lat", "lon")
         .agg(F.sum(value).alias("_v"), F.count("*").alias("_n"))
     )
-    cells = places.withColumn("ix", F.explode(steps)).withColumn("iy", F.explode(steps))
+    # Columns of the grid are dealt out before they become cells: few bytes, much work behind
+    # them, so their number is given. The sums below need no other shuffle.
+    parts = int(located.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strips = places.withColumn("ix", F.explode(steps)).repartition(parts, *keys, "ix")
+    cells = strips.withColumn("iy", F.explode(steps))
     x, y = axis(*lon, F.col("ix")), axis(*lat, F.col("iy"))
     d2 = F.pow(x - F.col("lon"), 2) + F.pow(y - F.col("lat"), 2)
     # A value on the cell itself dominates instead of dividing by zero.

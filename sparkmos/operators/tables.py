@@ -94,6 +94,17 @@ def in_range(df: DataFrame, time: str, start: Column, end: Column | None, before
     return df
 
 
+def span_of(requests: DataFrame, time: str) -> tuple[Column, Column]:
+    """First and last time of ``requests``, as a scalar subquery that scans can prune by."""
+    both = requests.agg(F.struct(F.min(time).alias("lo"), F.max(time).alias("hi")).alias("b")).scalar()
+    return both["lo"], both["hi"]
+
+
+def within(df: DataFrame, time: str, requests: DataFrame, request_time: str, before: str, after: str) -> DataFrame:
+    """Rows of ``df`` that lie within the given margins of any time asked for."""
+    return in_range(df, time, *span_of(requests, request_time), before, after)
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkmos import settings as cfg
 from sparkmos.functions import wind
-from sparkmos.operators import conformal, crossval, nearest, verify
+from sparkmos.operators import conformal, crossval, nearest, tables, verify
 from sparkmos.session import materialize
 from sparkmos.settings import Point
 
@@ -45,8 +45,9 @@ def evaluation_samples(predicted: DataFrame) -> DataFrame:
 
 def persistence(samples: DataFrame, observations: DataFrame, points: Sequence[Point], tie_break: Sequence[str] = ()) -> DataFrame:
     """Nearest observation 30 to 120 minutes before each sample, if it has speed and direction."""
+    near = tables.within(observations, "timestamp", samples, "valid_time", "INTERVAL '121' MINUTE", "INTERVAL '0' MINUTE")
     found = nearest.nearest_observation(
-        samples.select("point_id", F.col("valid_time").alias("t")), observations, points,
+        samples.select("point_id", F.col("valid_time").alias("t")), near, points,
         max_age_min=120, min_age_min=30, tie_break=tie_break,
     )
     return found.filter("wind_speed_kn IS NOT NULL AND wind_dir_deg IS NOT NULL").select(

@@ -224,8 +224,8 @@ def build_features(
 ) -> DataFrame:
     """Features and targets for every (point_id, t) that has a reference forecast.
 
-    ``start`` and ``end`` bound the samples' times; with them the scans of the stored tables
-    read only the days the look-ups can reach.
+    The scans of the stored tables read only the days the look-ups can reach. ``start`` and
+    ``end`` bound the samples' times; without them the bounds are taken from the samples.
 
     ``exclude_min`` keeps the newest observations out of the lookup; by default the
     observation used as feature may be the one the target is made of.
@@ -233,11 +233,12 @@ def build_features(
     keys = ["point_id", "t"]
     spark = samples.sparkSession
     base = samples.select(*keys).distinct()
-    if start is not None and end is not None:
-        forecasts = tables.in_range(forecasts, "valid_time", start, end, "INTERVAL '8' HOUR", "INTERVAL '4' HOUR")
-        observations = tables.in_range(observations, "timestamp", start, end, "INTERVAL '73' HOUR")
-        if climatology is not None:
-            climatology = tables.in_range(climatology, "timestamp", start, None, f"INTERVAL '{365 * years_back + 1}' DAY")
+    if start is None or end is None:
+        start, end = tables.span_of(base, "t")
+    forecasts = tables.in_range(forecasts, "valid_time", start, end, "INTERVAL '8' HOUR", "INTERVAL '4' HOUR")
+    observations = tables.in_range(observations, "timestamp", start, end, "INTERVAL '73' HOUR")
+    if climatology is not None:
+        climatology = tables.in_range(climatology, "timestamp", start, None, f"INTERVAL '{365 * years_back + 1}' DAY")
     own = forecast_features(base, forecasts, ensembles=ensembles, reference=reference, tie_break=tie_break)
     lags = lagged_forecasts(base, forecasts, reference=reference, causal=causal, tie_break=tie_break)
     obs = observation_columns(

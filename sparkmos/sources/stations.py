@@ -110,16 +110,32 @@ def station_observations(readings: DataFrame, sensors: DataFrame, order: str = "
     )
 
 
+# Entities that the pages use.
+ENTITIES = {"&nbsp;": " ", "&#160;": " ", "&deg;": "°", "&#176;": "°", "&agrave;": "à", "&egrave;": "è", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
+def _unescaped(c: Column) -> Column:
+    for entity, character in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(character))
+    return c
+
+
+def wind_table(html: Column) -> Column:
+    """The rows of the first table that holds the wind label; of a page without tables, all."""
+    tables = F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), 1)
+    return F.coalesce(F.get(F.filter(tables, lambda t: t.contains("Vento:")), F.lit(0)), html)
+
+
 def page_values(html: Column) -> Column:
     """Array of (label, value) of a station page: label rows are followed by value rows.
 
-    A fold over the table rows: a row with a known label is remembered, the next row gives
-    its values cell by cell.
+    A fold over the rows of the wind table: a row with a known label is remembered, the next
+    row gives its values cell by cell.
     """
 
     def cells(row: Column) -> Column:
         raw = F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1)
-        strip = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " "))
+        strip = lambda c: F.trim(F.regexp_replace(_unescaped(F.regexp_replace(c, r"<[^>]+>", " ")), r"\s+", " "))
         return F.transform(raw, strip)
 
     def label(cell: Column) -> Column:
@@ -140,7 +156,7 @@ def page_values(html: Column) -> Column:
             F.when(waiting, F.concat(state["pairs"], pairs)).otherwise(state["pairs"]).alias("pairs"),
         )
 
-    rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), cells)
+    rows = F.transform(F.regexp_extract_all(wind_table(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), cells)
     start = F.struct(
         F.array().cast("array<string>").alias("labels"),
         F.array().cast("array<struct<label:string,value:string>>").alias("pairs"),

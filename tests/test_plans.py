@@ -127,3 +127,19 @@ def test_ring_takes_any_number_of_points(spark):
     every = every.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where("km <= 25")
     want = {(r.c, r.direction): (r.m.point_id, round(r.m.km, 6)) for r in every.groupBy("c", "direction").agg(F.min(F.struct("km", "point_id")).alias("m")).collect()}
     assert got == want and len(got) == 27
+
+
+def test_look_ups_find_their_own_days(spark):
+    """Without bounds from the caller, the targets' span prunes the partitions of the predictions."""
+    from sparkmos.operators import serve
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, "p", t0 + timedelta(hours=i), t0 + timedelta(hours=i), i) for i in range(24 * 20)]
+    made = spark.createDataFrame(rows, "id bigint, point_id string, generated_at timestamp_ntz, valid_time timestamp_ntz, seq bigint")
+    path = scratch_dir(spark)
+    tables.upsert_path(spark, path, made, ["id", "valid_time"], "seq", "valid_time")
+    asked = spark.createDataFrame([("p", t0 + timedelta(days=9, hours=5))], "point_id string, target timestamp_ntz")
+    found = serve.prediction_at(asked, spark.read.parquet(path), ["point_id", "target"])
+    assert [r.id for r in found.collect()] == [9 * 24 + 5]
+    scans = [x.split("]")[0] for x in plan(found).split("PartitionFilters:")[1:]]
+    assert any("day" in x and "ubquery" in x for x in scans), scans
