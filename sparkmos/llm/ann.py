@@ -6,7 +6,8 @@ product of the turned vector with its own code. The inner product of a query wit
 is estimated as the query's product with the code, divided by that product; the error is at
 most ``EPSILON * sqrt((1 - c**2) / (c**2 (D - 1)))`` but for a vanishing share of pairs (``c``
 the stored product). A vector whose distance may be, by this bound, below the k-th best found
-so far is compared exactly, in double precision; all others are left after their bits.
+so far, or the k-th smallest upper bound, is compared exactly, in double precision; all others
+are left after their bits.
 
 The codes of all vectors are one table, whatever their number. Queries are taken in blocks of
 bounded size, each broadcast to the tasks that hold the codes; a task returns its ``k`` best
@@ -34,7 +35,8 @@ from sparkmos.session import materialize
 EPSILON = 3.0
 #: Queries broadcast at a time; with their vectors a few megabytes.
 BLOCK = 8192
-ROWS = 4096
+#: Vectors estimated at a time, and pairs compared exactly at a time.
+ROWS, PAIRS = 2048, 50_000
 
 
 def usable(vector: str, dims: int | None = None) -> Column:
@@ -134,21 +136,26 @@ def _search(queries: tuple[np.ndarray, np.ndarray], center: np.ndarray, k: int,
                 for lo in range(0, len(ids), 256):
                     q = slice(lo, lo + 256)
                     product = (turned[q] @ sign) / own
-                    low = length**2 + far[q, None] ** 2 - 2 * length * far[q, None] * np.minimum(1, product + error)
-                    may = low <= best_d[q, -1:] ** 2 * (1 + 1e-9)
-                    may &= ids[q, None] != own_id
-                    # Vectors at the centroid have no direction.
-                    qi, xi = np.nonzero(may)
-                    if not len(qi):
-                        continue
+                    other = ids[q, None] != own_id
+                    sides, both = length**2 + far[q, None] ** 2, 2 * length * far[q, None]
+                    low = sides - both * np.minimum(1, product + error)
+                    limit = best_d[q, -1] ** 2
+                    if len(own_id) > k:
+                        # k vectors of this part are at least as near as the k-th smallest upper bound.
+                        high = np.where(other, sides - both * np.maximum(-1, product - error), np.inf)
+                        limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1])
+                    qi, xi = np.nonzero((low <= limit[:, None] * (1 + 1e-9) + 1e-9) & other)
                     qi += lo
-                    d = _exact(vectors[qi], x[xi])
-                    for j in np.unique(qi):
-                        mine = qi == j if len(qi) < 64 else slice(*np.searchsorted(qi, [j, j + 1]))
-                        dj = np.concatenate([best_d[j], d[mine]])
-                        ij = np.concatenate([best_id[j], own_id[xi[mine]]])
-                        top = np.lexsort((ij, dj))[:k]
-                        best_d[j], best_id[j] = dj[top], ij[top]
+                    for start in range(0, len(qi), PAIRS):
+                        qp, xp = qi[start : start + PAIRS], xi[start : start + PAIRS]
+                        d = _exact(vectors[qp], x[xp])
+                        first = np.flatnonzero(np.concatenate([[True], qp[1:] != qp[:-1]]))
+                        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(qp)]):
+                            j = qp[a]
+                            dj = np.concatenate([best_d[j], d[a:b]])
+                            ij = np.concatenate([best_id[j], own_id[xp[a:b]]])
+                            top = np.lexsort((ij, dj))[:k]
+                            best_d[j], best_id[j] = dj[top], ij[top]
         found = np.isfinite(best_d)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(ids, found.sum(axis=1))), pa.array(best_id[found]), pa.array(best_d[found])], names=["query_id", "vec_id", "score"]
