@@ -70,13 +70,18 @@ def _at_rank(scores: DataFrame, group: Sequence[str], n: int, q: float) -> DataF
     )
 
 
-def scores_of(predicted: DataFrame, quantiles: Sequence[float]) -> DataFrame:
-    """Long (target, quantile, score) of absolute errors, from bias columns and targets."""
+def scores_of(predicted: DataFrame, quantiles: Sequence[float], normalized: str | None = None) -> DataFrame:
+    """Long (target, quantile, score) of absolute errors, from bias columns and targets.
+
+    ``normalized`` names the expected error: scores are then in units of the scale by which
+    ``decision.conformal_shift`` multiplies the quantile again.
+    """
+    scale = F.lit(1.0) if normalized is None else F.when(F.col(normalized) >= 0.1, F.col(normalized) / 0.1).otherwise(F.lit(1.0))
     items = [
         F.struct(
             F.lit(t).alias("target"),
             F.lit(q).alias("quantile"),
-            F.abs(F.col(f"target_{t}") - F.col(f"bias_{t}_q{round(q * 100):02d}")).alias("score"),
+            (F.abs(F.col(f"target_{t}") - F.col(f"bias_{t}_q{round(q * 100):02d}")) / scale).alias("score"),
         )
         for t in ("u", "v")
         for q in quantiles

@@ -103,7 +103,14 @@ def cross_validation(errors: DataFrame, n_groups: int = 6, n_test: int = 2) -> t
     return per_path, crossval.summarize_paths(per_path)
 
 
-def calibrators(predicted: DataFrame, alpha: float = 0.1, step_hours: int = 2, quantiles: Sequence[float] = cfg.QUANTILES) -> DataFrame:
-    """q_hat per (target, quantile) from samples every ``step_hours``."""
+def calibrators(
+    predicted: DataFrame, alpha: float = 0.1, step_hours: int = 2, quantiles: Sequence[float] = cfg.QUANTILES, normalized: str | None = None
+) -> DataFrame:
+    """q_hat per (target, quantile) from samples every ``step_hours``.
+
+    The scores are written once: counts, brackets and ranks all read them, and the features
+    behind them are built a single time.
+    """
     every = predicted.filter(F.pmod(F.hour("valid_time"), F.lit(step_hours)) == 0)
-    return conformal.score_quantiles(conformal.scores_of(every, quantiles), ["target", "quantile"], alpha)
+    scores = materialize(conformal.scores_of(every, quantiles, normalized))
+    return conformal.score_quantiles(scores, ["target", "quantile"], alpha)

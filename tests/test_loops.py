@@ -244,3 +244,12 @@ def test_commands_in_the_last_hour(spark):
     df = spark.createDataFrame(rows, "id int, u string, ts timestamp_ntz")
     got = {r.id: r.n_last_hour for r in limits.commands_last_hour(df, "u", "ts").collect()}
     assert got == {i: sum(v == u and t - timedelta(hours=1) <= s <= t for _, v, s in rows) for i, u, t in rows}
+
+
+def test_normalized_scores_undo_the_scale_of_the_shift(spark):
+    from sparkmos.operators import conformal
+
+    rows = [(1.0, 2.0, 0.5, 0.5, 0.4), (0.0, -1.0, 0.0, 0.0, 0.05), (None, 1.0, 0.0, 0.0, 0.2)]
+    df = spark.createDataFrame(rows, "target_u double, target_v double, bias_u_q50 double, bias_v_q50 double, expected double")
+    got = {(r.target, round(r.score, 9)) for r in conformal.scores_of(df, [0.5], "expected").collect()}
+    assert got == {("u", 0.125), ("v", 0.375), ("u", 0.0), ("v", 1.0), ("v", 0.5)}
