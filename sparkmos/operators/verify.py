@@ -8,13 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmos import settings as cfg
-from sparkmos.functions.common import micros, rnd
+from sparkmos.functions.common import micros, minute_index, rnd
 from sparkmos.functions.timefn import local
 from sparkmos.functions.wind import direction_error
 from sparkmos.operators.asof import nearest_in_time
 from sparkmos.operators.keyed import first_per_key
 
 
+def nearest_of_all(times: DataFrame, obs: DataFrame, tolerance_s: int, tie_break: Sequence[str] = ()) -> DataFrame:
+    """Per ``valid_time`` the row of ``obs`` nearest in time, whatever its station.
+
+    Rows are first reduced to one per distinct time. A time in another minute is nearest only
+    as the first or last of its minute, so an hour holds at most 120 candidates; only a valid
+    time's own minute is searched in full. No hour of many readings becomes a hot key.
+    """
+    same_time = [F.col("obs_source"), *[F.col(c).desc() for c in tie_break]]
+    order = [F.col("obs_time").desc(), *same_time]
+    one = first_per_key(obs, ["obs_time"], same_time).withColumn("_minute", minute_index("obs_time"))
+    edges = first_per_key(one, ["_minute"], [F.col("obs_time")]).unionByName(first_per_key(one, ["_minute"], [F.col("obs_time").desc()]))
+    options = {"request_time": "valid_time", "row_time": "obs_time", "tolerance_s": tolerance_s, "request_id": ["valid_time"], "tie_break": order}
+    outside = nearest_in_time(times, edges.drop("_minute"), keys=[], **options)
+    inside = nearest_in_time(times.withColumn("_minute", minute_index("valid_time")), one, keys=["_minute"], **options).drop("_minute")
+    return first_per_key(outside.unionByName(inside), ["valid_time"], [F.col("diff_s"), *order])
+
+
 def matched_pairs(
     predictions: DataFrame, observations: DataFrame, *, speed_required: bool = True, tolerance_s: int = 3600,
     tie_break: Sequence[str] = (),
@@ -33,16 +50,7 @@ def matched_pairs(
         F.col("wind_dir_deg").alias("obs_dir"),
         *[F.col(c).alias(f"obs_{c}") for c in tie_break],
     )
-    nearest = nearest_in_time(
-        predictions.select("valid_time").distinct(),
-        obs,
-        keys=[],
-        request_time="valid_time",
-        row_time="obs_time",
-        tolerance_s=tolerance_s,
-        request_id=["valid_time"],
-        tie_break=[F.col("obs_time").desc(), F.col("obs_source"), *[F.col(f"obs_{c}").desc() for c in tie_break]],
-    )
+    nearest = nearest_of_all(predictions.select("valid_time").distinct(), obs, tolerance_s, [f"obs_{c}" for c in tie_break])
     good = predictions.filter("wind_speed_kn IS NOT NULL")
     return good.join(nearest, "valid_time").filter("obs_speed IS NOT NULL").withColumns(
         {

@@ -253,3 +253,22 @@ def test_normalized_scores_undo_the_scale_of_the_shift(spark):
     df = spark.createDataFrame(rows, "target_u double, target_v double, bias_u_q50 double, bias_v_q50 double, expected double")
     got = {(r.target, round(r.score, 9)) for r in conformal.scores_of(df, [0.5], "expected").collect()}
     assert got == {("u", 0.125), ("v", 0.375), ("u", 0.0), ("v", 1.0), ("v", 0.5)}
+
+
+def test_pairs_in_a_crowded_hour(spark):
+    """Many readings and valid times in one hour: the same as the nearest of all, newer first on ties."""
+    from sparkmos.operators import verify
+
+    rnd = random.Random(8)
+    times = [(T0 + timedelta(seconds=rnd.randint(0, 7200)),) for _ in range(80)]
+    obs = [(T0 + timedelta(seconds=rnd.randint(0, 3600)), rnd.choice("abc"), float(i)) for i in range(2000)] + [(T0 - timedelta(minutes=20), "z", -1.0)]
+    got = verify.nearest_of_all(
+        spark.createDataFrame(times, "valid_time timestamp_ntz").distinct(),
+        spark.createDataFrame(obs, "obs_time timestamp_ntz, obs_source string, obs_speed double"), 1800, ["obs_speed"],
+    ).collect()
+    want = {}
+    for (t,) in times:
+        near = [(abs((o - t).total_seconds()), -o.timestamp(), s, -v) for o, s, v in obs if abs((o - t).total_seconds()) <= 1800]
+        if near:
+            want[t] = -min(near)[3]
+    assert {r.valid_time: r.obs_speed for r in got} == want and want
