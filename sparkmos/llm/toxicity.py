@@ -80,7 +80,7 @@ def fold(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     k = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
     first = (ends - length)[word] + k * (PIECE // 2)
     size = np.minimum(ends[word] - first, PIECE)
-    rows = np.zeros((len(word), width), dtype=np.int32)
+    rows = np.zeros((len(word), width), dtype=np.int8)
     column = np.arange(PIECE)
     inside = column < size[:, None]
     rows[:, 1 : PIECE + 1][inside] = letters[(first[:, None] + column)[inside]]
@@ -89,7 +89,7 @@ def fold(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _subsequences(rows: np.ndarray) -> np.ndarray:
     """The subsequences of each row; those that start behind its letters are all marks."""
-    at = np.arange(PIECE)
+    at, rows = np.arange(PIECE), rows.astype(np.int32)
     return np.concatenate([(rows[:, at] * LETTERS + rows[:, at + a]) * LETTERS + rows[:, at + b] for a, b in OFFSETS], axis=1)
 
 
@@ -150,7 +150,7 @@ class Landmarks:
             part = out[lo : lo + 1024]
             for k in np.flatnonzero((own % LETTERS**2 > 0).any(axis=0)).tolist():
                 part += told[:, k : k + 1] * self.table[own[:, k]]
-        return out**POWER
+        return np.power(out, POWER, out=out)
 
 
 _USED: dict[str, Model] = {}
@@ -213,6 +213,7 @@ class Model:
 
 def _grams(rows: np.ndarray) -> np.ndarray:
     """Runs of four letters, of which the first may be the mark; -1 behind a word's end."""
+    rows = rows[:, : PIECE + 3].astype(np.int32)
     g = ((rows[:, :-3] * LETTERS + rows[:, 1:-2]) * LETTERS + rows[:, 2:-1]) * LETTERS + rows[:, 3:]
     return np.where(rows[:, 3:] > 0, g, -1)[:, :PIECE]
 
@@ -260,43 +261,36 @@ def train(values: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int
 
     # Distinct words and the documents of either kind that have them.
     index: dict[str, int] = {}
-    counts: list[list[int]] = []
-    bags: list[set[int]] = []
-    for i in fit:
-        bag = set()
-        for w in set(values[i].split()):
-            k = index.setdefault(w, len(index))
-            if k == len(counts):
-                counts.append([0, 0])
-            counts[k][int(toxic[i])] += 1
-            bag.add(k)
-        bags.append(bag)
+    bags = [np.array([index.setdefault(w, len(index)) for w in set(values[i].split())], dtype=np.int32) for i in fit]
     rows, word = fold(list(index))
+    n_words = len(index)
+    index.clear()
     if not len(rows):
         return Model(None, None, 0.0, 0.0, share)
-    in_docs = np.array(counts)[word]
+    none = np.zeros(0, dtype=np.int32)
+    in_docs = np.stack([np.bincount(np.concatenate([none, *[b for b, k in zip(bags, bad) if k == kind]]), minlength=n_words) for kind in (False, True)], axis=1)
+    in_docs = in_docs[word]
     grams = _grams(rows)
     n1, n0 = bad.sum(), (~bad).sum()
-    of_word: dict[int, np.ndarray] = {}
-    order = np.argsort(word, kind="stable")
-    for k, part in zip(word[order], grams[order]):
-        own = part[part >= 0]
-        of_word[k] = np.concatenate([of_word[k], own]) if k in of_word else own
+    # Grams of word k: flat[at[k]:at[k + 1]]; pieces of a word follow one another.
+    told = grams >= 0
+    flat = grams[told]
+    at = np.concatenate([[0], np.cumsum(np.bincount(word, weights=told.sum(axis=1), minlength=n_words))]).astype(np.int64)
     k1, k0 = np.zeros(LETTERS**4), np.zeros(LETTERS**4)
-    none = np.zeros(0, dtype=np.int64)
     for bag, kind in zip(bags, bad):
-        own = np.unique(np.concatenate([none, *[of_word[k] for k in bag if k in of_word]])).astype(np.int64)
+        own = np.unique(np.concatenate([none, *[flat[at[k] : at[k + 1]] for k in bag.tolist()]]))
         (k1 if kind else k0)[own] += 1
     evidence = _llr(k1, n1, k0, n0)
-    value = np.where(grams >= 0, evidence[grams], -np.inf).max(axis=1)
+    value = np.full(len(rows), -np.inf)
+    np.maximum.at(value, np.nonzero(told)[0], evidence[flat])
+    del grams, told, flat
     # Positive words have a run of letters with evidence, near the best of some toxic document,
     # and are not themselves usual in clean documents.
-    by_word = np.full(len(index), -np.inf)
+    by_word = np.full(n_words, -np.inf)
     np.maximum.at(by_word, word, value)
-    near = np.zeros(len(index), dtype=bool)
-    for bag, kind in zip(bags, bad):
-        if kind and bag:
-            own = np.fromiter(bag, np.int64, len(bag))
+    near = np.zeros(n_words, dtype=bool)
+    for own, kind in zip(bags, bad):
+        if kind and len(own):
             near[own[by_word[own] >= max(10.0, 0.3 * by_word[own].max())]] = True
     usual = in_docs[:, 0] / n0 > 0.1 * in_docs[:, 1] / n1
     hot = near[word] & (value >= 10) & ~usual
@@ -306,6 +300,7 @@ def train(values: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int
         return Model(None, None, 0.0, 0.0, share)
     times = np.sqrt(np.bincount(place.ravel(), weights=in_docs[hot, 1]))
     clean = np.unique(rows[cold], axis=0)
+    del rows, word, in_docs, bags
     chosen = np.zeros(len(clean), dtype=bool)
     chosen[rng.choice(len(clean), min(len(clean), 8000), replace=False)] = True
     for turn in range(rounds):
@@ -320,7 +315,7 @@ def train(values: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         w = _svm(x, y, np.concatenate([times, np.full(len(negative), max(0.2, 4 * times.sum() / len(negative)))]))
         weights, bias = marks.root @ w[:-1], w[-1]
-        score = marks.kernel(clean) @ weights + bias
+        score = np.concatenate([marks.kernel(clean[lo : lo + 8192]) @ weights for lo in range(0, len(clean), 8192)]) + bias
         worst = np.argsort(-score)[:3000]
         chosen[worst[score[worst] > -0.9]] = True
     model = Model(marks, weights, float(bias), 1.0, 0.0)
