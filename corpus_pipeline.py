@@ -18,6 +18,8 @@ from sparkmos.session import materialize, prepare
 TOXIC = 0.3
 #: A document stays if its language explains at least this part of its letter n-grams.
 EXPLAINED = 0.25
+#: Documents whose sets of five-word runs have at least this Jaccard similarity, in percent, are near copies.
+NEAR = 80
 
 
 def _same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays."""
     prepare(spark)
-    return near_dup.deduplicate(docs)
+    return near_dup.deduplicate(docs, percent=NEAR)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

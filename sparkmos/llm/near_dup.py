@@ -1,9 +1,10 @@
 """Near-duplicate groups by fast similarity sketches, banding and exact verification.
 
-1. Every text gets the set of its word shingles and a sketch of ``BANDS * ROWS`` coordinates
+1. Every text gets the set of its word shingles and a sketch of ``bands * rows`` coordinates
    (``sketch.sketch``). Texts with the same set are one class, of which one row goes on.
-2. Classes that agree in all rows of a band meet in that band's bucket. At a Jaccard similarity
-   of 0.85 two sets miss each other in all bands once in a million times.
+2. Classes that agree in all rows of a band meet in that band's bucket. There are as many bands
+   as the threshold needs (``bands_for``): two sets just as similar as it miss each other in all
+   bands at most once in a million times.
 3. Each bucket's hub, the member that meets most others over all its bands, is compared with
    the members on the full sets; linked ones become one component. In a group of copies that
    settles nearly all members with one comparison each.
@@ -27,6 +28,7 @@ documents of their own, and name a component only if it has no other id (then nu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +42,20 @@ from sparkmos.llm.frames import ROWS as BATCH
 from sparkmos.llm.frames import text_blocks, texts
 from sparkmos.session import materialize
 
-BANDS, ROWS = 24, 5
+ROWS = 5
+#: How often two sets at the threshold may miss each other in all bands.
+MISS = 1e-6
 BLOCK = 512
 #: Bits of the filter that spares a second shingling to documents without any candidate.
 FILTER_BITS = 22
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """The fewest bands in which sets of that similarity miss each other at most ``MISS`` of the time."""
+    met = (percent / 100) ** rows
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-met))) if met < 1 else 1
+
+
 def _numbered(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -58,7 +68,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 yield part.slice(first, len(block)), [v.encode("utf-8", "surrogatepass") for v in block]
 
 
-def signatures(docs: DataFrame, text: str = "text", words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", words: int = 5, bands: int = bands_for(85), rows: int = ROWS) -> DataFrame:
     """uid, doc_id, n_shingles, two keys of the whole set, and one hash per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,16 +215,17 @@ def groups(
     text: str = "text",
     percent: int = 85,
     words: int = 5,
-    bands: int = BANDS,
+    bands: int | None = None,
     rows: int = ROWS,
     block: int = BLOCK,
 ) -> DataFrame:
     """One row per document: uid, doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Documents are linked if ``100 * common >= percent * union`` of their shingle sets. ``kept``
-    is true for one row of each component: the one with the smallest doc_id.
+    is true for one row of each component: the one with the smallest doc_id. ``bands`` is
+    ``bands_for(percent, rows)`` if it is not given.
     """
-    signed = materialize(signatures(docs, text, words, bands, rows))
+    signed = materialize(signatures(docs, text, words, bands or bands_for(percent, rows), rows))
     filled = signed.where("n_shingles > 0")
     classes = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("uid").alias("class"))
     reps = classes.select(F.col("class").alias("uid")).join(filled, "uid")
