@@ -17,8 +17,8 @@
 
 Nothing is capped: a bucket of any size is cut into blocks, and every candidate is compared.
 
-``docs`` must be a table read from files (or a checkpoint): its rows are numbered in two
-passes, which must see the same splits.
+Rows are numbered once and written with their numbers; every pass reads that copy, because a
+number computed anew follows the splits, and they follow the cores there are at that moment.
 
 Edge cases: null and empty texts, and texts of separators, have the empty set; they are linked
 with nothing and kept. Texts shorter than a shingle have their whole word sequence as one.
@@ -57,7 +57,9 @@ def bands_for(percent: int, rows: int = ROWS) -> int:
 
 
 def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """A stored copy with uid, doc_id and text."""
+    own = (F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return materialize(docs.select(F.monotonically_increasing_id().alias("uid"), *own))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -68,8 +70,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 yield part.slice(first, len(block)), [v.encode("utf-8", "surrogatepass") for v in block]
 
 
-def signatures(docs: DataFrame, text: str = "text", words: int = 5, bands: int = bands_for(85), rows: int = ROWS) -> DataFrame:
-    """uid, doc_id, n_shingles, two keys of the whole set, and one hash per band."""
+def signatures(numbered: DataFrame, words: int = 5, bands: int = bands_for(85), rows: int = ROWS) -> DataFrame:
+    """uid, doc_id, n_shingles, two keys of the whole set, and one hash per band, from uid, doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values in _blocks(batches):
@@ -82,10 +84,10 @@ def signatures(docs: DataFrame, text: str = "text", words: int = 5, bands: int =
                 names=["uid", "doc_id", "n_shingles", "k1", "k2", "bands"],
             )
 
-    return _numbered(docs, text).mapInArrow(run, "uid long, doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return numbered.mapInArrow(run, "uid long, doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
+def _sets(numbered: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """uid and sorted shingle hashes of the ``wanted`` rows.
 
     A filter of fixed size goes to the tasks first, so that hardly any other document is
@@ -110,8 +112,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFram
             data = [h[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["uid", "items"])
 
-    numbered = _numbered(docs, text).select("uid", "text", slot)
-    return numbered.mapInArrow(run, "uid long, items binary").join(wanted.select("uid"), "uid", "left_semi")
+    slotted = numbered.select("uid", "text", slot)
+    return slotted.mapInArrow(run, "uid long, items binary").join(wanted.select("uid"), "uid", "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,14 +227,19 @@ def groups(
     is true for one row of each component: the one with the smallest doc_id. ``bands`` is
     ``bands_for(percent, rows)`` if it is not given.
     """
-    signed = materialize(signatures(docs, text, words, bands or bands_for(percent, rows), rows))
+    return _grouped(_numbered(docs, text), percent, words, bands or bands_for(percent, rows), rows, block)
+
+
+def _grouped(numbered: DataFrame, percent: int, words: int, bands: int, rows: int, block: int) -> DataFrame:
+    """``groups`` of a stored table of uid, doc_id and text."""
+    signed = materialize(signatures(numbered, words, bands, rows))
     filled = signed.where("n_shingles > 0")
     classes = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("uid").alias("class"))
     reps = classes.select(F.col("class").alias("uid")).join(filled, "uid")
     entries = reps.select("uid", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").select("band", "key")
     buckets = materialize(entries.join(shared, ["band", "key"]))
-    sets = materialize(_sets(docs, buckets.select("uid").distinct(), text, words))
+    sets = materialize(_sets(numbered, buckets.select("uid").distinct(), words))
 
     hub_links = materialize(_hub_links(buckets, sets, percent))
     first = materialize(components(hub_links))
@@ -268,7 +275,9 @@ def groups(
 
 def deduplicate(docs: DataFrame, text: str = "text", percent: int = 85, words: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group; same conditions as ``groups``."""
-    gone = groups(docs, text, percent, words).where(~F.col("kept")).select(F.col("uid").alias("__row"))
     columns = [docs[f"`{c}`"] for c in docs.columns]
-    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), *columns)
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    stored = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), *columns))
+    own = stored.select(F.col("__row").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = _grouped(own, percent, words, bands_for(percent), ROWS, BLOCK)
+    gone = named.where(~F.col("kept")).select(F.col("uid").alias("__row"))
+    return stored.join(gone, "__row", "left_anti").drop("__row")

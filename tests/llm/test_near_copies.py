@@ -49,3 +49,27 @@ def test_bands_miss_a_pair_at_the_threshold_once_in_a_million(percent):
     n = near_dup.bands_for(percent)
     assert (1 - (percent / 100) ** near_dup.ROWS) ** n <= near_dup.MISS
     assert n == 1 or (1 - (percent / 100) ** near_dup.ROWS) ** (n - 1) > near_dup.MISS
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, monkeypatch):
+    rows = near_copies() + [(1000 + k, t) for k, (_, t) in enumerate(near_copies()[:20])]
+    table(spark, rows).repartition(6).write.parquet(str(tmp_path / "d"))
+    docs, want = spark.read.parquet(str(tmp_path / "d")), at_80(rows)
+    key, kept = "spark.sql.files.maxPartitionBytes", near_dup.materialize
+
+    def later(df):
+        """As if executors came or went after the first job."""
+        out = kept(df)
+        spark.conf.set(key, "3000")
+        return out
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(near_dup, "materialize", later)
+    try:
+        got = {r.doc_id: r.component_id for r in near_dup.groups(docs, percent=80).collect()}
+        assert got == want
+        spark.conf.set(key, before)
+        left = near_dup.deduplicate(docs, percent=80)
+        assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
+    finally:
+        spark.conf.set(key, before)
