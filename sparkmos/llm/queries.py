@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import ann, byte_bpe, fingerprint, language, licenses, lm_score, near_dup, packing, token_counts, toxicity
+from sparkmos.llm import ann, byte_bpe, decontaminate, fingerprint, language, licenses, lm_score, near_dup, packing, token_counts, toxicity
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -180,3 +180,17 @@ def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("licenses", ",").alias("licenses"),
         "unmatched",
     )
+
+
+@query("op13_decontamination", decontaminate.oracle())
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, read(spark, sf, "benchmark").select("item_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
