@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import ann, byte_bpe, decontaminate, fingerprint, language, licenses, lm_score, near_dup, packing, token_counts, toxicity
+from sparkmos.llm import ann, byte_bpe, decontaminate, fingerprint, language, licenses, lm_score, near_dup, packing, prefix_trie, token_counts, toxicity
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -182,6 +182,11 @@ def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op11_prefix_trie", prefix_trie.oracle())
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.paths(read(spark, sf, "conversations")))
+
+
 @query("op13_decontamination", decontaminate.oracle())
 def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
