@@ -28,6 +28,13 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     return sorted(out)
 
 
+def fetched(df) -> pd.DataFrame:
+    """Whole numbers with nulls stay whole numbers."""
+    out = df.toPandas()
+    whole = [f.name for f in df.schema if f.dataType.typeName() in ("integer", "long") and out[f.name].dtype.kind == "f"]
+    return out.astype({c: "Int64" for c in whole})
+
+
 def main() -> int:
     sf, prefixes = sys.argv[1], sys.argv[2:]
     for m in MODULES:
@@ -43,7 +50,7 @@ def main() -> int:
             continue
         try:
             t0 = time.time()
-            got = fn(spark, sf).toPandas()
+            got = fetched(fn(spark, sf))
             t1 = time.time()
             if sql is None:
                 print(f"rows  {name}: {len(got)} rows, {t1 - t0:.1f}s")

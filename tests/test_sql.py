@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from checks.run import TABLES, canonical
+from checks.run import TABLES, canonical, fetched
 from tests.conftest import SF
 
 SQL = driver.oracle_sql()
@@ -21,15 +21,14 @@ def db():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, db, sf, name):
-    got, want = QUERIES[name](spark, sf).toPandas(), db.execute(SQL[name]).df()
+    got, want = fetched(QUERIES[name](spark, sf)), db.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_gives_rows(spark, sf, name):
-    df = QUERIES[name](spark, sf)
-    assert df.columns and df.count() >= 0
+    assert QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry_runs(spark):
