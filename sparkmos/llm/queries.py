@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmos.llm import ann, byte_bpe, decontaminate, fingerprint, language, licenses, lm_score, near_dup, packing, prefix_trie, token_counts, toxicity
+from sparkmos.llm import ann, byte_bpe, decontaminate, fingerprint, language, licenses, lm_score, near_dup, packing, periodic, prefix_trie, token_counts, toxicity
 from sparkmos.session import prepare
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -187,6 +187,24 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.nodes(prefix_trie.paths(read(spark, sf, "conversations")))
 
 
+@query("op12_periodic_runs", periodic.oracle())
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.find(periodic.repeat_tails(read(spark, sf, "documents").select("doc_id", "text")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    most = found.select("doc_id", "runs", "collapsed", periodic.best(F.col("runs")).alias("best"))
+    return most.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.expr("best.length * 1000 div best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 @query("op13_decontamination", decontaminate.oracle())
 def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
