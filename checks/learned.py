@@ -1,16 +1,20 @@
-"""A19, D15 and the remaining verification entries against SQL; D4, D6, L6, A27 as rows only."""
+"""A19, D15, the remaining verification entries and the learned ones (D4, D6, L6, A27, D14 trained anew) against SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.featureset import features_df
+from checks.featureset import OP_SPINE, OWN, features_df, ref
 from checks.fx import query, r, sql, table
-from checks.lookups import PAIRS, pairs_df
-from checks.scoring import COMBOS, FX, GROUPS, N_TEST, SERVED, served_df
+from checks.lookups import PAIRS, nearest_sql, pairs_df
+from checks.scoring import BY_TIME, COMBOS, FX, GROUPS, N_TEST, PATHS, SERVED, indexed_df, served_df
 from sparkmos import settings as cfg
 from sparkmos.operators import attribution, conformal, crossval, quantile_boost, verify
-from sparkmos.plans import evaluation, features, inference, training
+from sparkmos.plans import evaluation, features, training
+from sparkmos.session import materialize
+
+#: Numeric columns of the feature row with climatology.
+N_FEATURES = 190
 
 SCORES = """sc AS (SELECT CASE WHEN id % 2 = 0 THEN 'u' ELSE 'v' END AS target, CASE id % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.5 ELSE 0.9 END::DOUBLE AS quantile, abs(wind_speed_kn - expected_error_kn) AS score FROM fx_predictions)"""
 # Position level * (n - 1) between two order statistics.
@@ -93,43 +97,80 @@ def j15(spark, sf):
     return crossval.sample_index(p).select("id", F.explode(F.get(table_, grp.cast("int"))).alias("path_id"))
 
 
-# --- Learned results: rows only here; quality and determinism are checked in the tests. ---
-
-SMALL = quantile_boost.BoostParams(rounds=2, max_depth=3, min_leaf=30, max_bins=32)
-COLUMNS = ["fc_icon_eu_speed", "fc_icon_eu_dir", "fc_icon_eu_u", "fc_icon_eu_v", "obs_nearest_speed", "obs_nearest_dir", "lag60_speed", "hour_local"]
+# --- Learned results. Trees and their sums have tests of their own; here counts are exact, and
+# --- what must hold whatever the trees are is asserted per row.
 
+TRAINED = f"""WITH {OP_SPINE}, {OWN}, {nearest_sql(0, 60)}, tr AS (SELECT w.point_id, w.t FROM wide w JOIN near USING (point_id, t) WHERE {ref('speed')} IS NOT NULL AND {ref('dir')} IS NOT NULL AND near.wind_speed_kn IS NOT NULL AND near.wind_dir_deg IS NOT NULL)"""
 
-def fitted(spark, sf):
-    from sparkmos.session import materialize
 
-    f = materialize(features.training_set(features_df(spark, sf, climatology=False)).select(*features.META, "obs_nearest_missing", "fc_icon_eu_gust", *COLUMNS))
-    return f, training.train(f, COLUMNS, SMALL)
+def training_df(spark, sf):
+    """All features, climatology included, of every sample with an observation."""
+    return materialize(features.training_set(features_df(spark, sf)))
 
 
-@query("d04_quantile_model")
+@query("d04_quantile_model", sql(f"{TRAINED} SELECT point_id, count(*) AS n, {', '.join(f'TRUE AS {t}_q{round(q * 100):02d}_better' for t in ('u', 'v') for q in cfg.QUANTILES)} FROM tr WHERE (SELECT count(*) FROM tr) >= 200 GROUP BY 1", *FX))
 def d04(spark, sf):
-    """Bias quantiles of every training sample, served as a forecast."""
-    f, model = fitted(spark, sf)
+    """Six models over all features: samples per point, and whether each quantile's loss there is below the best constant's."""
+    f = training_df(spark, sf)
+    model = training.train(f)
     if model is None:
-        return f.select("point_id", "valid_time", F.lit(None).cast("double").alias("wind_speed_kn"), F.lit(None).cast("double").alias("bias_u_q50")).limit(0)
-    return inference.served_forecast(model.predict(f)).select("point_id", "valid_time", "wind_speed_kn", "bias_u_q50")
+        return f.groupBy("point_id").agg(F.count("*").alias("n"), *[F.lit(True).alias(f"{t}_q{round(q * 100):02d}_better") for t in ("u", "v") for q in cfg.QUANTILES]).limit(0)
+    losses = []
+    for (t, q), m in model.models.items():
+        y, name = F.col(f"target_{t}"), f"{t}_q{round(q * 100):02d}"
+        loss = lambda p: F.sum(quantile_boost.pinball(y, p, q))  # noqa: B023, E731
+        losses.append((loss(F.col(f"bias_{name}")) < loss(F.lit(m.base))).alias(f"{name}_better"))
+    return model.predict(f).groupBy("point_id").agg(F.count("*").alias("n"), *losses)
 
 
-@query("d06_contributions")
+@query("d06_contributions", sql(f"{TRAINED} SELECT point_id, count(*) AS n, TRUE AS at_most_five, TRUE AS by_size, TRUE AS adds_up FROM tr WHERE (SELECT count(*) FROM tr) >= 200 GROUP BY 1", *FX))
 def d06(spark, sf):
-    """The five features that moved each prediction most."""
-    f, model = fitted(spark, sf)
-    if model is None:
-        return f.select("point_id", "valid_time", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("value")).limit(0)
-    prep = model.preparation
-    out = attribution.explain(prep.assemble(f), model.models[("u", 0.5)], prep.names())
-    return out.select("point_id", "valid_time", F.inline("top_contributors"))
+    """The five features that moved each sample's prediction most (L6), held against the rules they must keep."""
+    f = training_df(spark, sf)
+    if f.count() < cfg.MIN_TRAIN_SAMPLES:
+        return f.groupBy("point_id").agg(F.count("*").alias("n"), *[F.lit(True).alias(c) for c in ("at_most_five", "by_size", "adds_up")]).limit(0)
+    model = quantile_boost.fit_quantile(f, training.numeric_features(f), "target_u", 0.5, ["point_id", "valid_time"])
+    told = model.predict(attribution.explain(f, model), "bias")
+    start = attribution.expected(model)
+    size = F.transform("top_contributors", lambda c: F.abs(c["value"]))
+    total = F.aggregate(F.map_values("contributions"), F.lit(start), lambda a, v: a + v)
+    return told.groupBy("point_id").agg(
+        F.count("*").alias("n"), F.bool_and(F.size("top_contributors") <= 5).alias("at_most_five"),
+        F.bool_and(size == F.reverse(F.array_sort(size))).alias("by_size"), F.bool_and(F.abs(total - F.col("bias")) < 1e-6).alias("adds_up"),
+    )
 
 
-@query("a27_feature_discovery")
+@query("a27_feature_discovery", sql(f"{TRAINED} SELECT count(*) AS n, count(*) >= 100 AS enough, CASE WHEN count(*) >= 100 THEN {N_FEATURES} ELSE 0 END AS n_ranked, count(*) >= 100 AS some_selected, TRUE AS at_most_fifty FROM tr", *FX))
 def a27(spark, sf):
-    f = features.training_set(features_df(spark, sf, climatology=False))
-    names = quantile_boost.discover_features(f, COLUMNS, rounds=3, max_depth=3)
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rank int, feature string")
-
-
+    """All features ranked behind the gate of 100 samples."""
+    f = training_df(spark, sf)
+    names = training.numeric_features(f)
+    ranked = quantile_boost.ranked_features(f, names)
+    selected = [c for c, share, _ in ranked[:50] if share > 0.001]
+    n = f.agg(F.count("*").alias("n"))
+    return n.select("n", (F.col("n") >= quantile_boost.MIN_DISCOVERY).alias("enough"), F.lit(len(ranked)).alias("n_ranked"), F.lit(bool(selected)).alias("some_selected"), F.lit(len(selected) <= 50).alias("at_most_fifty"))
+
+
+@query("a27_feature_ranking")
+def a27_ranking(spark, sf):
+    """Share of a boosted median model's gain, and a single split's gain, per feature."""
+    f = training_df(spark, sf)
+    ranked = quantile_boost.ranked_features(f, training.numeric_features(f))
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(ranked, 1)], "rank int, feature string, share double, first_gain double")
+
+
+# 15 paths of six models each.
+PATH_PARAMS = quantile_boost.BoostParams(rounds=10, max_depth=4)
+
+
+@query("d14_cross_validation_retrained", sql(f"WITH {PATHS}, {BY_TIME} SELECT path_id, n_test, n_train, TRUE AS own_model FROM pp JOIN labels USING (path_id)", *FX))
+def d14_retrained(spark, sf):
+    """Scores of models trained anew for every path; they differ from those of the one fixed candidate."""
+    order = table(spark, sf, "fx_points").select("point_id", F.col("idx").alias("p_order"))
+    own = evaluation.cross_validation(evaluation.retrained_errors(features_df(spark, sf), order, params=PATH_PARAMS))[0]
+    fixed = materialize(indexed_df(spark, sf))
+    n = fixed.agg(F.count("*").alias("n")).scalar()
+    labels = crossval.label_counts(fixed, n, GROUPS, N_TEST, 2, 6, by_time="valid_time")
+    before = evaluation.cross_validation(fixed)[0].select("path_id", F.col("cand_mae").alias("fixed_mae"))
+    differs = F.abs(F.col("cand_mae") - F.col("fixed_mae")) > 1e-6
+    return own.join(labels, "path_id").join(before, "path_id").select("path_id", "n_test", "n_train", differs.alias("own_model"))

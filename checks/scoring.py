@@ -237,6 +237,19 @@ def d13(spark, sf):
     return crossval.label_counts(e, e.agg(F.count("*").alias("n")).scalar(), GROUPS, N_TEST, P, E)
 
 
+# The same by the clock: hours from the span of a test group's times.
+BY_TIME = f"""g AS (SELECT i, t, least(i // (n // 6), 5) AS grp FROM idx), span AS (SELECT grp, min(t) AS lo, max(t) AS hi FROM g GROUP BY 1),
+lab AS (SELECT c.path_id, g.i, max(CASE WHEN g.t BETWEEN s.lo - INTERVAL '{P}' HOUR AND s.hi + INTERVAL '{P}' HOUR THEN 2 WHEN g.t > s.hi AND g.t <= s.hi + INTERVAL '{E}' HOUR THEN 1 ELSE 0 END) AS l
+  FROM combos c JOIN g ON g.grp NOT IN (g1, g2) JOIN span s ON s.grp IN (g1, g2) GROUP BY ALL),
+labels AS (SELECT path_id, count(*) FILTER (WHERE l = 0) AS n_train, count(*) FILTER (WHERE l = 2) AS n_purged, count(*) FILTER (WHERE l = 1) AS n_embargo FROM lab GROUP BY 1)"""
+
+
+@query("d13_purge_by_time", sql(f"WITH {ERRORS}, {INDEXED}, {COMBOS}, {BY_TIME} SELECT * FROM labels", *FX))
+def d13_time(spark, sf):
+    e = indexed_df(spark, sf).select("idx", "valid_time")
+    return crossval.label_counts(e, e.agg(F.count("*").alias("n")).scalar(), GROUPS, N_TEST, P, E, by_time="valid_time")
+
+
 PREV = """x AS (SELECT *, least(i // (n // 6), 5) AS grp, CASE WHEN lag(point_id) OVER (ORDER BY i) = point_id THEN abs(lag(os) OVER (ORDER BY i) - os) END AS prev_err FROM idx)"""
 PATHS = f"""{ERRORS}, {INDEXED}, {COMBOS}, {PREV},
 pp AS (SELECT path_id, count(*) AS n_test, avg(cand_err) AS cand_mae, avg(cand_dir_err) AS cand_dir, avg(prev_err) AS pers_mae, avg(nwp_err) AS nwp_mae, avg(covered) * 100 AS interval_coverage FROM combos JOIN x ON grp IN (g1, g2) GROUP BY 1)"""

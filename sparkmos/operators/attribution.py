@@ -1,84 +1,102 @@
-"""Which features moved a prediction: contributions along the path through every tree.
-
-Each split on a row's path adds the change of the node mean to the split's feature. This is
-an approximation of Shapley values that needs one pass and no background data.
+"""Which features moved a prediction: path-dependent Shapley values of the trees.
+
+A tree without some of its features is read as the mean over their splits, weighted by the
+training rows on either side. Per leaf, a feature on its path then gives a factor: 1 or 0 (does
+the row pass its splits) when the feature is known, the share of rows that pass when it is not.
+The Shapley value sums over all sets of known features; per leaf that sum is a weighted read of
+the coefficients of the product of (share + passes * y) over the path's other features, so it
+takes as many steps as the path has features, squared, and no enumeration. Values add up to the
+prediction less the model's expected value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmos.operators.quantile_boost import QuantileModel
-
-
-def node_table(model: QuantileModel) -> list[dict[str, np.ndarray]]:
-    """Per tree: feature, threshold, children and mean value of every node.
-
-    A tree has fewer than ``2 ** (depth + 1)`` nodes, so the table stays small.
-    """
-    out = []
-    for tree, leaf_values in zip(model.trees, model.leaves, strict=True):
-        rows: list[list[float]] = []
-        weights: list[float] = []
-        leaf = iter(leaf_values)
-
-        def walk(node, rows=rows, weights=weights, leaf=leaf) -> int:
-            me = len(rows)
-            rows.append([-1, 0.0, -1, -1, 0.0])
-            weights.append(float(node.impurityStats().count()))
-            if node.getClass().getSimpleName() == "LeafNode":
-                rows[me][4] = next(leaf)
-                return me
-            split = node.split()
-            left, right = walk(node.leftChild()), walk(node.rightChild())
-            total = weights[left] + weights[right]
-            value = (rows[left][4] * weights[left] + rows[right][4] * weights[right]) / total
-            rows[me] = [split.featureIndex(), split.threshold(), left, right, value]
-            return me
-
-        walk(tree._java_obj.rootNode())
-        a = np.array(rows)
-        out.append(
-            {
-                "feature": a[:, 0].astype(int),
-                "threshold": a[:, 1],
-                "left": a[:, 2].astype(int),
-                "right": a[:, 3].astype(int),
-                "value": a[:, 4] * model.learning_rate,
-            }
-        )
+from sparkmos.operators.quantile_boost import ROWS, QuantileModel, Tree, matrix, narrowed, numbers
+
+
+def leaf_paths(tree: Tree) -> list[tuple[int, list[tuple[int, bool]]]]:
+    """(leaf, [(node, goes left)]) for every leaf."""
+    out, stack = [], [(0, [])]
+    while stack:
+        node, path = stack.pop()
+        if tree.feature[node] < 0:
+            out.append((node, path))
+        else:
+            stack += [(tree.right[node], [*path, (node, False)]), (tree.left[node], [*path, (node, True)])]
+    return out
+
+
+def _share(tree: Tree, node: int, left: bool) -> float:
+    """Part of a node's training rows that goes to one side."""
+    return tree.cover[tree.left[node] if left else tree.right[node]] / tree.cover[node]
+
+
+def expected(model: QuantileModel) -> float:
+    """The prediction when no feature is known."""
+    total = 0.0
+    for tree in model.trees:
+        for leaf, path in leaf_paths(tree):
+            total += tree.value[leaf] * float(np.prod([_share(tree, n, left) for n, left in path]))
+    return model.base + model.learning_rate * total
+
+
+def shapley(model: QuantileModel, x: np.ndarray) -> np.ndarray:
+    """Rows x features: contributions to the predictions of ``x`` (NaN for missing)."""
+    out = np.zeros((len(x), len(model.features)))
+    for tree in model.trees:
+        f = np.array(tree.feature)
+        v = x[:, np.maximum(f, 0)]
+        goes_left = np.where(np.isnan(v), np.array(tree.missing_left), v <= np.array(tree.threshold))
+        for leaf, path in leaf_paths(tree):
+            value = model.learning_rate * tree.value[leaf]
+            if not path or not value:
+                continue
+            passes: dict[int, np.ndarray] = {}
+            share: dict[int, float] = {}
+            for node, left in path:
+                j = tree.feature[node]
+                ok = goes_left[:, node] == left
+                passes[j] = passes[j] & ok if j in passes else ok
+                share[j] = share.get(j, 1.0) * _share(tree, node, left)
+            m = len(passes)
+            product = np.zeros((m + 1, len(x)))  # coefficients of the product over all features
+            product[0] = 1.0
+            for k, j in enumerate(passes):
+                product[1 : k + 2] = product[1 : k + 2] * share[j] + product[: k + 1] * passes[j]
+                product[0] *= share[j]
+            for j, o in passes.items():
+                z = share[j]
+                # The product without j: divided from the top where j passes, by its share where not.
+                down, flat = 0.0, 0.0
+                total = np.zeros(len(x))
+                for k in range(m - 1, -1, -1):
+                    down = product[k + 1] - z * down
+                    flat = product[k] / z
+                    total += factorial(k) * factorial(m - 1 - k) / factorial(m) * np.where(o, down, flat)
+                out[:, j] += value * (o - z) * total
     return out
 
 
-def contributions(model: QuantileModel, n_features: int, features: str = "features") -> Column:
-    """Array of one contribution per feature, for an assembled feature vector."""
-    trees = node_table(model)
+def contributions(df: DataFrame, model: QuantileModel) -> tuple[Column, list[str]]:
+    """A column of one contribution per feature that the model uses, and those features."""
+    names, (narrow,) = narrowed([model])
 
-    @F.pandas_udf("array<double>")
-    def paths(x: pd.Series) -> pd.Series:
-        m = np.stack(x.to_list()) if len(x) else np.zeros((0, n_features))
-        total = np.zeros((len(m), n_features))
-        rows = np.arange(len(m))
-        for t in trees:
-            node = np.zeros(len(m), dtype=int)
-            while True:
-                inner = t["feature"][node] >= 0
-                if not inner.any():
-                    break
-                at, r = node[inner], rows[inner]
-                f = t["feature"][at]
-                child = np.where(m[r, f] <= t["threshold"][at], t["left"][at], t["right"][at])
-                np.add.at(total, (r, f), t["value"][child] - t["value"][at])
-                node[inner] = child
-        return pd.Series(list(total))
+    @F.arrow_udf("array<double>")
+    def values(x: pa.Array) -> pa.Array:
+        m = matrix(x, len(names))
+        parts = [shapley(narrow, m[at : at + ROWS]) for at in range(0, len(m), ROWS)]
+        flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * len(names)), pa.array(flat))
 
-    return paths(vector_to_array(features))
+    return values(numbers(df, names)) if names else F.array().cast("array<double>"), names
 
 
 def top_contributors(values: Column, names: Sequence[str], n: int = 5) -> Column:
@@ -91,9 +109,12 @@ def top_contributors(values: Column, names: Sequence[str], n: int = 5) -> Column
     return F.transform(F.slice(F.array_sort(large), 1, n), lambda p: F.struct(p["feature"], p["value"]))
 
 
-def explain(df: DataFrame, model: QuantileModel, names: Sequence[str], features: str = "features", n: int = 5) -> DataFrame:
-    """``df`` (with its feature vector) plus ``top_contributors``; flags count with their feature."""
-    k = len(names) // 2
-    raw = df.withColumn("_c", contributions(model, len(names), features))
-    merged = F.zip_with(F.slice("_c", 1, k), F.slice("_c", k + 1, k), lambda a, b: a + b)
-    return raw.withColumn("top_contributors", top_contributors(merged, names[:k], n)).drop("_c")
+def explain(df: DataFrame, model: QuantileModel, n: int = 5) -> DataFrame:
+    """``df`` plus ``contributions`` (feature to value) and the largest of them, ``top_contributors``."""
+    values, names = contributions(df, model)
+    if not names:
+        none = F.array().cast("array<struct<feature:string,value:double>>")
+        return df.withColumn("contributions", F.create_map().cast("map<string,double>")).withColumn("top_contributors", none)
+    raw = df.withColumn("_c", values)
+    named = F.map_from_arrays(F.array(*[F.lit(x) for x in names]), F.col("_c"))
+    return raw.withColumn("contributions", named).withColumn("top_contributors", top_contributors(F.col("_c"), names, n)).drop("_c")

@@ -135,41 +135,72 @@ def purge_label(idx: Column, n_samples: Column | int, combo: Sequence[int], n_gr
     )
 
 
-def training_labels(indexed: DataFrame, n_samples: Column | int, n_groups: int, n_test: int, purge: int, embargo: int) -> DataFrame:
+def group_spans(indexed: DataFrame, n_samples: Column | int, n_groups: int, time: str = "valid_time") -> Column:
+    """First and last time of every group, as an array; a subquery of one row."""
+    sized = indexed.select("idx", time).withColumn("_n", F.lit(n_samples) if isinstance(n_samples, int) else n_samples)
+    grp = group_of(F.col("idx"), F.col("_n"), n_groups)
+    mine = [F.when(grp == g, F.col(time)) for g in range(n_groups)]
+    return sized.agg(F.array(*[F.struct(F.min(t).alias("first"), F.max(t).alias("last")) for t in mine]).alias("spans")).scalar()
+
+
+def purge_label_by_time(time: Column, spans: Column, combo: Sequence[int], purge_hours: float, embargo_hours: float) -> Column:
+    """Label by the clock: ``purged`` within ``purge_hours`` of a test group's time span, else
+    ``embargo`` up to ``embargo_hours`` after one, else ``train``.
+
+    Points interleave, so a group may end amid the samples of one time: those of the next
+    group at that time are purged, as are all others too near whatever their position.
+    """
+    t, p, e = micros(time), int(purge_hours * 3_600_000_000), int(embargo_hours * 3_600_000_000)
+    first = {g: micros(F.get(spans, F.lit(g))["first"]) for g in combo}
+    last = {g: micros(F.get(spans, F.lit(g))["last"]) for g in combo}
+    near, after = F.lit(False), F.lit(False)
+    for g in combo:
+        near = near | ((t >= first[g] - p) & (t <= last[g] + p))
+        after = after | ((t > last[g]) & (t <= last[g] + e))
+    return F.when(near, F.lit("purged")).when(after, F.lit("embargo")).otherwise(F.lit("train"))
+
+
+def _labelled(indexed: DataFrame, n_samples: Column | int, n_groups: int, n_test: int, purge: float, embargo: float, by_time: str | None) -> tuple[DataFrame, list[Column]]:
+    """``indexed`` with its size (and spans), and per path the label of a row, ``test`` included."""
+    # The size may be a subquery; as a column it is planned once, not once per path.
+    sized = indexed.withColumn("_n", F.lit(n_samples) if isinstance(n_samples, int) else n_samples)
+    if by_time is not None:
+        sized = sized.withColumn("_spans", group_spans(indexed, n_samples, n_groups, by_time))
+    grp = group_of(F.col("idx"), F.col("_n"), n_groups)
+    labels = []
+    for c in paths(n_groups, n_test):
+        if by_time is None:
+            label = purge_label(F.col("idx"), F.col("_n"), c, n_groups, int(purge), int(embargo))
+        else:
+            label = purge_label_by_time(F.col(by_time), F.col("_spans"), c, purge, embargo)
+        labels.append(F.when(grp.isin(*c), F.lit("test")).otherwise(label))
+    return sized, labels
+
+
+def training_labels(indexed: DataFrame, n_samples: Column | int, n_groups: int, n_test: int, purge: float, embargo: float, by_time: str | None = None) -> DataFrame:
     """One row per (path, sample outside its test groups) with its label.
 
+    ``purge`` and ``embargo`` are positions, or hours if ``by_time`` names the time column.
     This is paths times samples; use ``label_counts`` when only the sizes matter.
     """
-    combos = paths(n_groups, n_test)
-    # The size may be a subquery; as a column it is planned once, not once per path.
-    n_col = F.lit(n_samples) if isinstance(n_samples, int) else n_samples
-    sized = indexed.withColumn("_n", n_col)
-    n_samples = F.col("_n")
-    grp = group_of(F.col("idx"), n_samples, n_groups)
-    per_path = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("path_id"),
-                F.when(grp.isin(*c), F.lit("test"))
-                .otherwise(purge_label(F.col("idx"), n_samples, c, n_groups, purge, embargo))
-                .alias("label"),
-            )
-            for i, c in enumerate(combos)
-        ]
-    )
+    sized, labels = _labelled(indexed, n_samples, n_groups, n_test, purge, embargo, by_time)
+    per_path = F.array(*[F.struct(F.lit(i).alias("path_id"), label.alias("label")) for i, label in enumerate(labels)])
     return sized.select(*indexed.columns, F.inline(per_path)).filter("label <> 'test'")
 
 
-def label_counts(indexed: DataFrame, n_samples: Column | int, n_groups: int, n_test: int, purge: int, embargo: int) -> DataFrame:
+def training_flags(indexed: DataFrame, n_samples: Column | int, n_groups: int, n_test: int, purge: float, embargo: float, by_time: str | None = None, out: str = "use") -> DataFrame:
+    """``indexed`` with an array of flags: does path i train on the sample?"""
+    sized, labels = _labelled(indexed, n_samples, n_groups, n_test, purge, embargo, by_time)
+    return sized.select(*indexed.columns, F.array(*[label == "train" for label in labels]).alias(out))
+
+
+def label_counts(indexed: DataFrame, n_samples: Column | int, n_groups: int, n_test: int, purge: float, embargo: float, by_time: str | None = None) -> DataFrame:
     """Training samples of every path by label: one pass over the samples, a sum per path and label."""
-    combos, labels = paths(n_groups, n_test), ("train", "purged", "embargo")
-    sized = indexed.select("idx").withColumn("_n", F.lit(n_samples) if isinstance(n_samples, int) else n_samples)
-    grp = group_of(F.col("idx"), F.col("_n"), n_groups)
-    sums = []
-    for i, c in enumerate(combos):
-        label = F.when(~grp.isin(*c), purge_label(F.col("idx"), F.col("_n"), c, n_groups, purge, embargo))
-        sums += [F.count(F.when(label == lab, 1)).alias(f"{lab}_{i}") for lab in labels]
-    rows = [F.struct(F.lit(i).alias("path_id"), *[F.col(f"{lab}_{i}").alias(f"n_{lab}") for lab in labels]) for i in range(len(combos))]
+    kept = indexed.select("idx", *([by_time] if by_time else []))
+    sized, per_path = _labelled(kept, n_samples, n_groups, n_test, purge, embargo, by_time)
+    names = ("train", "purged", "embargo")
+    sums = [F.count(F.when(label == lab, 1)).alias(f"{lab}_{i}") for i, label in enumerate(per_path) for lab in names]
+    rows = [F.struct(F.lit(i).alias("path_id"), *[F.col(f"{lab}_{i}").alias(f"n_{lab}") for lab in names]) for i in range(len(per_path))]
     return sized.agg(*sums).select(F.inline(F.array(*rows)))
 
 
@@ -199,6 +230,13 @@ def path_scores(errors: DataFrame, n_samples: Column | int, n_groups: int, n_tes
     )
 
 
+def scores_by_path(errors: DataFrame) -> DataFrame:
+    """Mean errors per path, for errors that carry ``path_id`` because every path has a model of its own."""
+    scale = {"interval_coverage": 100.0}
+    found = errors.groupBy("path_id").agg(F.count("cand_err").alias("n_test"), *[(F.avg(c) * scale.get(m, 1.0)).alias(m) for m, c in METRICS.items()])
+    return found.filter("n_test > 0")
+
+
 def t_critical(df: Column) -> Column:
     """Two-sided 5 % point; beyond the table a series in 1/df."""
     z = Z_975

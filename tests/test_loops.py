@@ -215,6 +215,49 @@ def test_sample_index_and_previous_sample(spark):
     assert prev == want and any(v is not None for v in want.values())
 
 
+def test_purge_labels_by_time(spark):
+    """300 random tables of interleaved points, in 12 settings, against plain loops over time spans."""
+    rnd = random.Random(4)
+    kinds = [(g, k, *rnd.choice([(0, 0), (0, 6), (1, 3), (2.5, 6), (5, 2)])) for g in (2, 3, 4, 6) for k in (1, 2, 3) if k < g] + [(5, 2, 2, 6), (5, 1, 0, 3), (3, 1, 2, 6)]
+    rows, want = [], {}
+    for case in range(300):
+        setting = case % len(kinds)
+        g, test, purge, embargo = kinds[setting]
+        n, points = rnd.randrange(g, 60), rnd.randrange(1, 5)
+        hours = sorted(rnd.choice([0, 1, 1.5]) * (i // points) for i in range(n)) if case % 2 else [i // points for i in range(n)]
+        group = [min(i // (n // g), g - 1) for i in range(n)]
+        spans = [(min(h for h, x in zip(hours, group) if x == c), max(h for h, x in zip(hours, group) if x == c)) for c in range(g)]
+        at = [tuple(T0 + timedelta(hours=h) for h in s) for s in spans]
+        rows += [(case, setting, i, T0 + timedelta(hours=h), n, at) for i, h in enumerate(hours)]
+        for path, combo in enumerate(itertools.combinations(range(g), test)):
+            for i, h in enumerate(hours):
+                if group[i] not in combo:
+                    near = any(spans[c][0] - purge <= h <= spans[c][1] + purge for c in combo)
+                    after = any(spans[c][1] < h <= spans[c][1] + embargo for c in combo)
+                    want[case, path, i] = "purged" if near else "embargo" if after else "train"
+    df = spark.createDataFrame(rows, "case int, setting int, idx long, valid_time timestamp_ntz, n long, spans array<struct<first:timestamp_ntz,last:timestamp_ntz>>").cache()
+    got = {}
+    for k, (g, test, purge, embargo) in enumerate(kinds):
+        grp = crossval.group_of(F.col("idx"), F.col("n"), g)
+        labels = [
+            F.when(~grp.isin(*c), crossval.purge_label_by_time(F.col("valid_time"), F.col("spans"), c, purge, embargo)) for c in crossval.paths(g, test)
+        ]
+        for r in df.where(F.col("setting") == k).select("case", "idx", F.array(*labels).alias("l")).collect():
+            got |= {(r.case, p, r.idx): v for p, v in enumerate(r.l) if v is not None}
+    assert got == want and set(want.values()) == {"train", "purged", "embargo"}
+    # The whole operators on one of the tables.
+    for case, setting in ((len(kinds) - 3, len(kinds) - 3), (len(kinds) - 1, len(kinds) - 1)):
+        one = df.where(F.col("case") == case).select("idx", "valid_time")
+        n, options = one.count(), dict(zip(("n_groups", "n_test", "purge", "embargo"), kinds[setting]))
+        mine = {(p, i): v for (c, p, i), v in want.items() if c == case}
+        assert {(r.path_id, r.idx): r.label for r in crossval.training_labels(one, n, **options, by_time="valid_time").collect()} == mine
+        flags = {(p, r.idx) for r in crossval.training_flags(one, n, **options, by_time="valid_time").collect() for p, f in enumerate(r.use) if f}
+        assert flags == {key for key, v in mine.items() if v == "train"}
+        for r in crossval.label_counts(one, n, **options, by_time="valid_time").collect():
+            here = [v for (p, _), v in mine.items() if p == r.path_id]
+            assert [r.n_train, r.n_purged, r.n_embargo] == [here.count(x) for x in ("train", "purged", "embargo")]
+
+
 @pytest.mark.parametrize("train,test,step,days", [(7, 5, 3, 30), (10, 4, 2, 14), (10, 10, 1, 12)])
 def test_walk_forward_windows(spark, train, test, step, days):
     end = T0 + timedelta(days=days)
