@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from sparkmos.llm import language, toxicity, word_bpe
 from sparkmos.llm.frames import vocabulary
-from tests.llm.test_text import brute_force
+from tests.llm.test_near_copies import at_80
 
 
 @pytest.fixture(scope="module")
@@ -29,8 +29,8 @@ def test_stages_against_loops(spark, sf, stages):
     names, score = language.fit(stages[1]).predict([t or "" for t in calm.text])
     assert sorted(spoken.doc_id) == sorted(calm.doc_id[(np.array(names) != "und") & (score >= corpus_pipeline.EXPLAINED)])
     rows = list(zip(spoken.doc_id, spoken.text))
-    groups, _ = brute_force(rows)
-    assert sorted(single.doc_id) == sorted(set(groups.values()))
+    assert corpus_pipeline.NEAR == 80
+    assert sorted(single.doc_id) == sorted(set(at_80(rows).values()))
     coder = word_bpe.words(vocabulary("word_bpe_49k.json"))
     ids = {i: coder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in zip(single.doc_id, single.text)}
     packed = packed.sort_values(["doc_id", "start"])
