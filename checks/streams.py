@@ -86,7 +86,7 @@ def t05(spark, sf):
     return to_files(sources.with_event_time(o, "timestamp", "1 hour")).select("id", "source", "wind_speed_kn")
 
 
-#: Rows that the watermark has passed, numbered per key in time order.
+#: Rows that the watermark has passed, numbered per key in time order; of the batch twins: all rows.
 SETTLED = """e AS (SELECT user_id AS key, event_id AS row_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
 WHERE ts < date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL '1' HOUR)"""
 T6_RATE = f"""WITH RECURSIVE {SETTLED},
@@ -99,6 +99,7 @@ T6_COOL = f"""WITH RECURSIVE {SETTLED},
 s AS (SELECT key, row_id, us, i, true AS fired, us AS last FROM e WHERE i = 1 UNION ALL
 SELECT e.key, e.row_id, e.us, e.i, e.us - s.last >= {GAP_US} AS fired, CASE WHEN e.us - s.last >= {GAP_US} THEN e.us ELSE s.last END FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1)
 SELECT key, row_id, fired FROM s"""
+PASSED = "WHERE ts < date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL '1' HOUR"
 
 
 @query("t06_stream_rate_limit", T6_RATE)
@@ -112,6 +113,16 @@ def t06_cool(spark, sf):
     return to_files(stateful.cool_down(stream(spark, sf, "fx_events"), "user_id", "ts", "event_id")).select("key", "row_id", "fired")
 
 
+@query("t06_rate_limit_of_table", T6_RATE.replace(PASSED, ""))
+def t06_all(spark, sf):
+    return stateful.rate_limit_of(table(spark, sf, "fx_events"), "user_id", "ts", "event_id", per_hour=2).select("key", "row_id", "accepted")
+
+
+@query("t06_cool_down_of_table", T6_COOL.replace(PASSED, ""))
+def t06_cool_all(spark, sf):
+    return stateful.cool_down_of(table(spark, sf, "fx_events"), "user_id", "ts", "event_id").select("key", "row_id", "fired")
+
+
 T7 = sql(f"""WITH w AS (SELECT *, CASE WHEN date_diff('microsecond', lag(timestamp) OVER (PARTITION BY source ORDER BY timestamp), timestamp) < 1800000000 THEN 0 ELSE 1 END AS brk FROM fx_observations WHERE wind_speed_kn >= 10),
 g AS (SELECT *, sum(brk) OVER (PARTITION BY source ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS s FROM w),
 ses AS (SELECT source, min(timestamp) AS session_start, max(timestamp) + INTERVAL '30' MINUTE AS session_end, count(*) AS n, {r('min(wind_speed_kn)')} AS min_speed, {r('max(wind_speed_kn)')} AS max_speed FROM g GROUP BY source, s)
@@ -135,6 +146,17 @@ def t07_runs(spark, sf):
     return to_files(stateful.sustained_runs(stream(spark, sf, "fx_observations"), "source", "timestamp", "id", "wind_speed_kn", 10.0, 3))
 
 
+T7ALL = sql(f"""WITH p AS (SELECT *, coalesce(wind_speed_kn >= 10, FALSE) AS ok FROM fx_observations),
+g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY timestamp, id) - row_number() OVER (PARTITION BY source, ok ORDER BY timestamp, id) AS island, max((timestamp, id)) OVER (PARTITION BY source) = (timestamp, id) AS newest FROM p)
+SELECT source AS key, count(*) AS n, epoch_us(min(timestamp)) AS start_us, epoch_us(max(timestamp)) AS end_us, {r('max(wind_speed_kn)')} AS peak, bool_or(newest) AS open FROM g WHERE ok GROUP BY source, island HAVING count(*) >= 3""", "fx_observations")
+
+
+@query("t07_unbroken_runs_of_table", T7ALL)
+def t07_runs_all(spark, sf):
+    """Finished and open runs."""
+    return stateful.sustained_runs_of(table(spark, sf, "fx_observations"), "source", "timestamp", "id", "wind_speed_kn", 10.0, 3)
+
+
 @query("t08_stream_static", sql(f"SELECT f.id, f.point_id, {doubles('wind_speed_kn lat lon')} FROM fx_forecast_runs f JOIN fx_points p USING (point_id)", "fx_forecast_runs"))
 def t08(spark, sf):
     f = stream(spark, sf, "fx_forecast_runs")

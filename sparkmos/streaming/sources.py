@@ -15,7 +15,7 @@ from sparkmos.session import scratch_dir
 
 def file_stream(
     spark: SparkSession, path: str, schema: StructType, glob: str | None = None, files_per_batch: int | None = None,
-    bytes_per_batch: int = 8 * 1024**3, fmt: str = "parquet",
+    bytes_per_batch: int = 1024**3, fmt: str = "parquet",
 ) -> DataFrame:
     """Files of a folder as a stream, in micro-batches of bounded size.
 

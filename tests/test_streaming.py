@@ -152,6 +152,128 @@ def test_answers_do_not_depend_on_the_cut(spark, tmp_path, rule):
     assert answers[0] == answers[1] == answers[2] and answers[0]
 
 
+class FakeState(dict):
+    """Value and map states of one key, and its timers, in memory."""
+
+    def getValueState(self, name, schema):
+        return self.setdefault(name, FakeValue())
+
+    def getMapState(self, name, key, value):
+        return self.setdefault(name, FakeMap())
+
+    def registerTimer(self, ms):
+        self.setdefault("timers", set()).add(ms)
+
+    def deleteTimer(self, ms):
+        self["timers"].remove(ms)
+
+
+class FakeValue:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, v):
+        self.held = v
+
+    def clear(self):
+        self.held = None
+
+
+class FakeMap(dict):
+    getValue, updateValue, removeKey, containsKey, iterator = dict.get, dict.__setitem__, dict.pop, dict.__contains__, dict.items
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_hot_key_holds_one_slice(seed):
+    """All of a key's rows in the first batch, in any order: no more than a slice and a batch in memory."""
+    import pandas as pd
+
+    rnd = random.Random(seed)
+    minute = 60_000_000
+    rows = sorted((rnd.randrange(0, 600) * minute // 2, i, 0.0) for i in range(2000))
+    judge = stateful.limit_judge(3)
+    want, memory = [], []
+    for us, i, v in rows:
+        row, memory, _ = judge("k", us, i, v, memory, 0.0)
+        want.append(row)
+    p = stateful.InOrder(["key", "row_id", "us", "ok"], judge, lambda m: m[-1] + stateful.HOUR_US, None, inline=20, slice_us=5 * minute)
+    state = FakeState()
+    p.init(state)
+    late = rnd.sample(rows, 300)
+    first = [r for r in rows if r not in set(late)] if seed % 2 else rows
+    batches = [first[k : k + 50] for k in range(0, len(first), 50)]
+    rnd.shuffle(batches)
+    frames = [pd.DataFrame(b, columns=["us", "row_id", "v"]) for b in batches]
+    list(p.handleInputRows(("k",), iter(frames), Clock(0)))
+    if seed % 2:
+        list(p.handleInputRows(("k",), iter([pd.DataFrame(sorted(late, key=lambda r: r[1]), columns=["us", "row_id", "v"])]), Clock(0)))
+    got, clock = [], 0
+    while state["timers"]:
+        clock = max(clock + rnd.randrange(1, 2_000_000), min(state["timers"]))
+        for t in sorted(t for t in state["timers"] if t <= clock):
+            if t in state["timers"]:
+                state["timers"].remove(t)
+                timer = Clock(clock)
+                timer.getExpiryTimeInMs = lambda t=t: t
+                for f in p.handleExpiredTimer(("k",), timer, timer):
+                    got += [tuple(r) for r in f.itertuples(index=False)]
+    assert got == want
+    slices = [sum(r[0] // (5 * minute) == k for r in rows) for k in range(60)]
+    assert p.most <= max(max(slices), 20 + 50 if not seed % 2 else 20 + 300) and p.most < 400
+    assert not state["slices"] and not state["chunks"] and not state["memory"].exists() and not state["wait"].exists()
+
+
+def test_sliced_state_gives_the_same_stream(spark, commands):
+    path, rows = commands
+    answers = []
+    for options in ({}, {"inline": 5, "slice_us": 60_000_000}):
+        out = scratch_dir(spark)
+        s = stateful.rate_limit(stream(spark, path), "user", "ts", "id", per_hour=10, **options)
+        sources.run_available(s, path=out)
+        answers.append(sorted(tuple(r) for r in read(spark, s, out).collect()))
+    assert answers[0] == answers[1] and answers[0]
+
+
+@pytest.mark.parametrize("silence", [None, 1.5])
+def test_runs_of_a_table_equal_a_loop(spark, silence):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice("ab"), T0 + timedelta(minutes=rnd.choice([1, 40]) * i), rnd.choice([None, 5.0, 12.0, 13.0, 14.0, 12.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, source string, timestamp timestamp_ntz, v0 double").repartition(4)
+    want = []
+    for key in "ab":
+        run, before = [], None
+        for r in [*sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])), None]:
+            high = r is not None and (r[3] or 0) >= 10
+            gap = r is not None and silence is not None and before is not None and (r[2] - before).total_seconds() > silence * 3600
+            if run and (not high or gap):
+                want.append((key, len(run), run[0][2], run[-1][2], max(x[3] for x in run), r is None)) if len(run) >= 3 else None
+                run = []
+            if high:
+                run.append(r)
+            before = r[2] if r else None
+    us = lambda t: round((t - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    got = stateful.sustained_runs_of(df, "source", "timestamp", "id", "v0", 10.0, 3, silence).collect()
+    assert sorted(map(tuple, got)) == sorted((k, n, us(a), us(b), p, o) for k, n, a, b, p, o in want)
+
+
 def test_silent_keys_leave_no_state_and_close_their_run(spark, tmp_path):
     rows = [(i, "a", T0 + timedelta(minutes=i), 12.0) for i in range(5)] + [(99, "b", T0 + timedelta(hours=9), 1.0)]
     spark.createDataFrame(rows[:5], "id bigint, source string, timestamp timestamp_ntz, v0 double").coalesce(1).write.mode("append").parquet(str(tmp_path))
