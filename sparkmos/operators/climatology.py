@@ -221,25 +221,40 @@ def seasonal_percentile(
 ) -> DataFrame:
     """Percent of historical speeds in the window that lie below the sample's forecast.
 
-    History is reduced to counts per (point, time, speed). Matches stream into a partial
-    count per sample; nothing is collected per group.
+    Whole days after the cutoff are the same for all samples of a point and day, so they are
+    counted once per (point, day of the samples, distinct speed), and one running sum over a
+    day's speeds serves all its samples. Only the cutoff day itself is read by the hour.
     """
-    wanted = _with_cutoff(samples.filter(F.col(value).isNotNull()).select("point_id", "t", value), years_back)
-    lo, hi = _window(F.col("t"), window_days)
-    history = (
-        climatology.filter("wind_speed_10m IS NOT NULL")
-        .groupBy("point_id", "timestamp", "wind_speed_10m")
-        .agg(F.count("*").alias("n"))
-        .withColumn("doy", F.dayofyear("timestamp"))
+    wanted = _with_cutoff(samples.filter(F.col(value).isNotNull()).select("point_id", "t", F.col(value).alias("x")), years_back)
+    wanted = wanted.withColumn("t_day", F.to_date("t"))
+    speeds = climatology.filter("wind_speed_10m IS NOT NULL")
+    daily = speeds.groupBy("point_id", F.to_date("timestamp").alias("day"), F.col("wind_speed_10m").alias("x")).agg(F.count("*").alias("n"))
+    anchors = wanted.select("point_id", "t_day").distinct()
+    a_lo, a_hi = _window(F.col("t_day"), window_days)
+    whole = (
+        anchors.withColumn("doy", F.explode(F.sequence(a_lo, a_hi)))
+        .join(daily.withColumn("doy", F.dayofyear("day")), ["point_id", "doy"])
+        .filter(F.col("day") > F.date_sub("t_day", 365 * years_back))
+        .groupBy("point_id", "t_day", "x")
+        .agg(F.sum("n").alias("n"))
     )
-    return (
-        wanted.withColumn("doy", F.explode(F.sequence(lo, hi)))
-        .join(history, ["point_id", "doy"])
+    # A sample stands before the history of its own speed: what is summed up to it lies below.
+    line = whole.select("point_id", "t_day", "x", "n", F.lit(None).cast("timestamp_ntz").alias("t")).unionByName(
+        wanted.select("point_id", "t_day", "x", F.lit(0).cast("long").alias("n"), "t")
+    )
+    of_day = Window.partitionBy("point_id", "t_day")
+    upto = of_day.orderBy("x", F.col("t").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = line.withColumns({"below": F.sum("n").over(upto), "whole": F.sum("n").over(of_day)}).filter("t IS NOT NULL")
+    lo, hi = _window(F.col("t"), window_days)
+    edge = (
+        wanted.withColumn("day", F.to_date("cutoff"))
+        .filter(F.dayofyear("cutoff").between(lo, hi))
+        .join(speeds.select("point_id", "timestamp", F.to_date("timestamp").alias("day"), "wind_speed_10m"), ["point_id", "day"])
         .filter(F.col("timestamp") >= F.col("cutoff"))
         .groupBy("point_id", "t")
-        .agg(
-            F.sum("n").alias("n_all"),
-            F.coalesce(F.sum(F.when(F.col("wind_speed_10m") < F.col(value), F.col("n"))), F.lit(0)).alias("n_below"),
-        )
-        .select("point_id", "t", rnd(F.col("n_below") / F.col("n_all") * 100.0, 1).alias("seasonal_wind_percentile"))
+        .agg(F.count("*").alias("e_all"), F.count(F.when(F.col("wind_speed_10m") < F.col("x"), 1)).alias("e_below"))
     )
+    zero = F.lit(0)
+    both = placed.join(edge, ["point_id", "t"], "left")
+    n_below, n_all = F.col("below") + F.coalesce("e_below", zero), F.col("whole") + F.coalesce("e_all", zero)
+    return both.filter(n_all > 0).select("point_id", "t", rnd(n_below / n_all * 100.0, 1).alias("seasonal_wind_percentile"))

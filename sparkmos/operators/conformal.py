@@ -1,73 +1,56 @@
-"""Conformal calibration: exact score quantiles per (target, quantile).
+"""Conformal calibration: exact score quantiles per (target, quantile), or any other groups.
 
-The needed quantile is an order statistic. A sketch brackets it first; then the rows below
-the bracket are counted and only the distinct scores inside it are ranked, so no group is
-sorted in one task.
+The needed quantile is an order statistic whose rank follows from the group's size, a column
+here. A sketch brackets it first (of a small group, all scores are taken); then the rows below
+the bracket are counted and only the distinct scores inside it are ranked, so no large group is
+sorted in one task. It is one plan, whatever the number of groups, and nothing is collected.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH = 10_000
 
 
-def level(n: int, alpha: float) -> float:
-    return min(math.ceil((n + 1) * (1 - alpha)) / n, 1.0)
+def level(n: Column, alpha: float) -> Column:
+    return F.least(F.ceil((n + 1) * (1 - alpha)) / n, F.lit(1.0))
 
 
 def score_quantiles(scores: DataFrame, group: Sequence[str], alpha: float = 0.1, min_n: int = 100) -> DataFrame:
     """``q_hat`` per group of ``score``: the conformal level, interpolated linearly.
 
-    Groups below ``min_n`` scores give no row. Groups are few (targets times quantiles); one
-    count per group comes to the driver.
+    Groups below ``min_n`` scores give no row.
     """
-    sizes = [(tuple(r[g] for g in group), r["n"]) for r in scores.groupBy(*group).agg(F.count("score").alias("n")).collect()]
-    spark = scores.sparkSession
-    parts = []
-    for n in sorted({n for _, n in sizes if n >= min_n}):
-        members = [k for k, m in sizes if m == n]
-        same = F.lit(False)
-        for k in members:
-            cond = F.lit(True)
-            for g, v in zip(group, k, strict=True):
-                cond = cond & (F.col(g) == F.lit(v))
-            same = same | cond
-        parts.append(_at_rank(scores.filter(same & F.col("score").isNotNull()), group, n, level(n, alpha)))
-    if not parts:
-        fields = [f"{f.name} {f.dataType.simpleString()}" for f in scores.schema if f.name in group]
-        return spark.createDataFrame([], ", ".join([*fields, "n_calibration bigint", "q_hat double"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _at_rank(scores: DataFrame, group: Sequence[str], n: int, q: float) -> DataFrame:
-    """Value at position q * (n - 1), counting from 0, between its two neighbours."""
-    pos = q * (n - 1)
-    low, high, part = math.floor(pos), math.ceil(pos), pos - math.floor(pos)
-    # The sketch's rank error is n / SKETCH; twice that on both sides surely brackets.
-    slack = 2.0 / SKETCH + 2.0 / n
-    lo_q, hi_q = max(0.0, q - slack), min(1.0, q + slack)
-    bracket = scores.groupBy(*group).agg(
-        F.percentile_approx("score", lo_q, SKETCH).alias("_lo"), F.percentile_approx("score", hi_q, SKETCH).alias("_hi")
-    )
-    marked = scores.select(*group, "score").join(bracket, list(group))
-    below = marked.groupBy(*group).agg(F.count(F.when(F.col("score") < F.col("_lo"), 1)).alias("_below"))
-    inside = marked.filter(F.col("score").between(F.col("_lo"), F.col("_hi"))).groupBy(*group, "score").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("_upto", F.sum("_n").over(w)).join(below, list(group))
-    last = F.col("_below") + F.col("_upto")  # ranks below + upto - n .. below + upto - 1 hold this score
-    first = last - F.col("_n")
-    at = lambda k: F.max(F.when((first <= k) & (last > k), F.col("score")))
-    return ranked.groupBy(*group).agg(at(low).alias("_a"), at(high).alias("_b")).select(
-        *group, F.lit(n).cast("bigint").alias("n_calibration"), (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("q_hat")
-    )
+    group = list(group)
+    known = scores.select(*group, "score").filter("score IS NOT NULL")
+    # From SKETCH scores on, the level is within 2 / SKETCH of 1 - alpha, its two positions within
+    # as much again of it, and the sketch errs by no more than 1 / SKETCH.
+    around = [max(0.0, 1 - alpha - 5 / SKETCH), min(1.0, 1 - alpha + 5 / SKETCH)]
+    sizes = known.groupBy(*group).agg(
+        F.count("*").alias("_n"), F.min("score").alias("_min"), F.max("score").alias("_max"),
+        F.percentile_approx("score", F.array(*map(F.lit, around)), SKETCH).alias("_b"),
+    )
+    small = F.col("_n") < SKETCH
+    position = level(F.col("_n"), alpha) * (F.col("_n") - 1)
+    bracket = sizes.filter(F.col("_n") >= min_n).select(
+        *group, F.col("_n").alias("n_calibration"), position.alias("_pos"),
+        F.when(small, F.col("_min")).otherwise(F.get("_b", F.lit(0))).alias("_lo"),
+        F.when(small, F.col("_max")).otherwise(F.get("_b", F.lit(1))).alias("_hi"),
+    )
+    marked = known.join(bracket, group).filter(F.col("score") <= F.col("_hi"))
+    # All rows below the bracket are one entry, of no score.
+    entry = F.when(F.col("score") >= F.col("_lo"), F.col("score"))
+    entries = marked.groupBy(*group, "n_calibration", "_pos", entry.alias("_score")).agg(F.count("*").alias("_k"))
+    upto = Window.partitionBy(*group).orderBy(F.col("_score").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = entries.withColumn("_last", F.sum("_k").over(upto))  # ranks last - k to last - 1 hold this score
+    at = lambda k: F.max(F.when((F.col("_last") - F.col("_k") <= k) & (F.col("_last") > k), F.col("_score")))
+    low = F.floor("_pos")
+    ends = ranked.groupBy(*group, "n_calibration", "_pos").agg(at(low).alias("_a"), at(F.ceil("_pos")).alias("_z"))
+    return ends.select(*group, "n_calibration", (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - low)).alias("q_hat"))
 
 
 def scores_of(predicted: DataFrame, quantiles: Sequence[float], normalized: str | None = None) -> DataFrame:

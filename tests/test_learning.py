@@ -208,6 +208,24 @@ def test_conformal_quantile_equals_numpy_and_covers(spark):
     assert np.mean(fresh <= got["u", 0.1].q_hat) >= 0.9 - 0.03
 
 
+def test_quantiles_of_many_groups_and_of_a_large_one(spark):
+    """3,000 small groups, one larger than the sketch with ties and gaps: the exact interpolated order statistic."""
+    rng = np.random.default_rng(5)
+    small = [(f"g{i % 3000}", float(rng.integers(0, 40)) / 7) for i in range(36_000)]
+    big = [("big", float(v)) for v in np.concatenate([rng.exponential(1, 20_000), np.full(9_000, 2.25), rng.exponential(1, 3_001) + 3])]
+    rows = small + big + [("none", None)] * 200
+    df = spark.createDataFrame(rows, "g string, score double").repartition(4)
+    got = {r.g: r for r in conformal.score_quantiles(df, ["g"], 0.1, min_n=10).collect()}
+    values = {}
+    for g, v in rows:
+        if v is not None:
+            values.setdefault(g, []).append(v)
+    assert set(got) == {g for g, v in values.items() if len(v) >= 10}
+    for g, v in values.items():
+        n = len(v)
+        assert got[g].n_calibration == n and got[g].q_hat == pytest.approx(np.quantile(v, min(np.ceil((n + 1) * 0.9) / n, 1)), abs=1e-12)
+
+
 def test_calibration_widens_the_interval_only(spark):
     df = spark.createDataFrame([(-1.0, 0.0, 1.0, -1.0, 0.0, 1.0, 0.2)], "bias_u_q10 double, bias_u_q50 double, bias_u_q90 double, bias_v_q10 double, bias_v_q50 double, bias_v_q90 double, e double")
     cal = spark.createDataFrame([("u", 0.1, 0.5), ("u", 0.5, 9.0), ("v", 0.9, 0.25)], "target string, quantile double, q_hat double")
