@@ -11,25 +11,46 @@ from sparkmos import settings as cfg
 from sparkmos.functions.common import micros, minute_index, rnd
 from sparkmos.functions.timefn import local
 from sparkmos.functions.wind import direction_error
-from sparkmos.operators.asof import nearest_in_time
 from sparkmos.operators.keyed import first_per_key
+from sparkmos.session import materialize
 
 
 def nearest_of_all(times: DataFrame, obs: DataFrame, tolerance_s: int, tie_break: Sequence[str] = ()) -> DataFrame:
-    """Per ``valid_time`` the row of ``obs`` nearest in time, whatever its station.
+    """Per distinct ``valid_time`` the row of ``obs`` nearest in time, whatever its station; of two equally near the newer.
 
-    Rows are first reduced to one per distinct time. A time in another minute is nearest only
-    as the first or last of its minute, so an hour holds at most 120 candidates; only a valid
-    time's own minute is searched in full. No hour of many readings becomes a hot key.
+    Observations are read once. Reduced to one per distinct time, they are laid in order with
+    the valid times, first a minute at a time: the last one before and the first one after a
+    valid time are found in its own minute, and of the minute only its first and last
+    observation go on. These are laid in order by the hour, each in its neighbours' hours too.
+    So no hour of many readings is sorted as a whole, and an hour has at most 120 of them.
     """
-    same_time = [F.col("obs_source"), *[F.col(c).desc() for c in tie_break]]
-    order = [F.col("obs_time").desc(), *same_time]
-    one = first_per_key(obs, ["obs_time"], same_time).withColumn("_minute", minute_index("obs_time"))
-    edges = first_per_key(one, ["_minute"], [F.col("obs_time")]).unionByName(first_per_key(one, ["_minute"], [F.col("obs_time").desc()]))
-    options = {"request_time": "valid_time", "row_time": "obs_time", "tolerance_s": tolerance_s, "request_id": ["valid_time"], "tie_break": order}
-    outside = nearest_in_time(times, edges.drop("_minute"), keys=[], **options)
-    inside = nearest_in_time(times.withColumn("_minute", minute_index("valid_time")), one, keys=["_minute"], **options).drop("_minute")
-    return first_per_key(outside.unionByName(inside), ["valid_time"], [F.col("diff_s"), *order])
+    one = first_per_key(obs, ["obs_time"], [F.col("obs_source"), *[F.col(c).desc() for c in tie_break]])
+    kind = one.select(F.struct(*one.columns).alias("o")).schema["o"].dataType
+    v = F.col("valid_time")
+    line = one.select(F.col("obs_time").alias("at"), F.struct(*one.columns).alias("o"), F.lit(None).cast("timestamp_ntz").alias("valid_time")).unionByName(
+        times.select(v.alias("at"), F.lit(None).cast(kind).alias("o"), v).distinct()
+    )
+
+    def around(df: DataFrame, part: str, before: str, after: str) -> DataFrame:
+        # At the same time the observation comes first.
+        w = Window.partitionBy(part).orderBy("at", v.isNotNull())
+        return df.withColumns(
+            {
+                before: F.last("o", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                after: F.first("o", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+            }
+        )
+
+    minutes = around(line.withColumn("_minute", minute_index("at")), "_minute", "b", "a")
+    edges = minutes.filter(v.isNotNull() | F.col("b").isNull() | F.col("a").isNull())
+    reach, hour = -(-tolerance_s // 3600), F.floor(micros("at") / 3_600_000_000)
+    hours = F.when(v.isNull(), F.sequence(hour - reach, hour + reach)).otherwise(F.array(hour))
+    seen = around(edges.withColumn("_hour", F.explode(hours)), "_hour", "bb", "aa").filter(v.isNotNull())
+    before, after = F.coalesce("b", "bb"), F.coalesce("a", "aa")
+    away = lambda o: F.abs(micros(o["obs_time"]) - micros(v))
+    nearest = F.when(after.isNull() | (away(before) < away(after)), before).otherwise(after)
+    found = seen.select(v, nearest.alias("n")).filter(away(F.col("n")) <= tolerance_s * 1_000_000)
+    return found.select(v, "n.*").withColumn("diff_s", F.abs(micros("obs_time") - micros(v)) / 1e6)
 
 
 def matched_pairs(
@@ -91,7 +112,11 @@ def accuracy_report(pairs: DataFrame, as_of: Column) -> DataFrame:
 
 
 def error_histogram(pairs: DataFrame, bins: int = 30, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts over ``bins`` equal bins between the smallest and the largest error."""
+    """Counts over ``bins`` equal bins between the smallest and the largest error.
+
+    The errors are written once: the bounds and the counts both read them.
+    """
+    pairs = materialize(pairs.select(*keys, "error"))
     bounds = pairs.groupBy(*keys).agg(F.min("error").alias("lo"), F.max("error").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     if keys:

@@ -144,3 +144,10 @@ def test_look_ups_find_their_own_days(spark):
     assert [r.id for r in found.collect()] == [9 * 24 + 5]
     scans = [x.split("]")[0] for x in plan(found).split("PartitionFilters:")[1:]]
     assert any("day" in x and "ubquery" in x for x in scans), scans
+
+
+def test_pairs_read_observations_once(spark, sf):
+    """One scan of the observations' table; predictions are read for their distinct times and for the join."""
+    for name, scans in (("j05_verification_pairs", 3), ("a16_accuracy_report", 3), ("w09_last_pairs", 3), ("d21_validation_report", 3), ("a29_error_histogram", 2)):
+        p = plan(QUERIES[name](spark, sf)).split("Subqueries")[0]
+        assert p.count("FileScan") <= scans, (name, p.count("FileScan"))
