@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparkmos.llm.frames import map_added, text_blocks, texts, vocabulary
+from sparkmos.llm.frames import Kept, map_added, text_blocks, texts, vocabulary
 
 POS_BITS = 32
 NONE = np.int64(1) << 62
-#: Pretokens and words kept per Python worker, and the longest one kept; more only costs time.
+#: Words kept per Python worker, twice as many at most, and the longest one kept; more only costs time.
 CACHE = 100_000
 CACHED_CHARS = 64
-#: Matches taken from one long text at a time.
-MATCHES = 500_000
+#: Matches taken from one long text at a time, and bytes of ids decoded at a time.
+MATCHES, DECODED = 500_000, 400_000
 NOT_SINGLE, SINGLE_SPACE = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -135,7 +135,7 @@ class Merges:
 
 
 class Encoder:
-    """Encodes texts; remembers short pretokens and words.
+    """Encodes texts; remembers short words.
 
     A single space between two other characters that are no white space begins a match of the
     pattern, so a text is cut there and each word, with its space, is matched by itself.
@@ -146,34 +146,26 @@ class Encoder:
 
         self.merges = Merges(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Kept(CACHE)
 
     def _pieces(self, matches: list[list[str]]) -> list[bytes]:
-        known = self.pieces
-        if len(known) > CACHE:
-            known.clear()
-        fresh = list({m for ms in matches for m in ms if m not in known})
-        known.update(zip(fresh, self.merges.encode([m.encode("utf-8", "surrogatepass") for m in fresh])))
-        out = [b"".join([known[m] for m in ms]) for ms in matches]
-        for m in fresh:
-            if len(m) > CACHED_CHARS:
-                del known[m]
-        return out
+        """Ids of each list of matches; a match that repeats among them is merged once."""
+        known: dict[str, bytes] = dict.fromkeys(m for ms in matches for m in ms)
+        made = self.merges.encode([m.encode("utf-8", "surrogatepass") for m in known])
+        known = dict(zip(known, made))
+        return [known[ms[0]] if len(ms) == 1 else b"".join([known[m] for m in ms]) for ms in matches]
 
     def _words(self, values: list[str]) -> list[bytes]:
-        known = self.words
-        if len(known) > CACHE:
-            known.clear()
         cut = [SINGLE_SPACE.split(v) if v[:1].isspace() or v[-1:].isspace() or NOT_SINGLE.search(v) else v.split(" ") for v in values]
-        fresh = list({w for ws in cut for w in ws[1:] if w not in known})
-        heads = [ws[0] for ws in cut]
-        made = self._pieces([self.pattern.findall(" " + w) for w in fresh] + [self.pattern.findall(h) for h in heads])
+        heads = [ws.pop(0) for ws in cut]
+        fresh = self.words.missing(set().union(*cut))
+        known, find = self.words.late, self.pattern.findall
+        # A word of Latin letters alone is one match, with its space.
+        made = self._pieces([[" " + w] if w.isascii() and w.isalpha() else find(" " + w) for w in fresh] + [find(h) for h in heads])
         known.update(zip(fresh, made))
-        out = [b"".join([h, *[known[w] for w in ws[1:]]]) for h, ws in zip(made[len(fresh) :], cut)]
-        for w in fresh:
-            if len(w) > CACHED_CHARS:
-                del known[w]
+        get = known.__getitem__
+        out = [h + b"".join(map(get, ws)) for h, ws in zip(made[len(fresh) :], cut)]
+        self.words.forget(fresh, CACHED_CHARS)
         return out
 
     def encode(self, values: list[str]) -> list[bytes]:
@@ -195,9 +187,43 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+class Table:
+    """The tokens' bytes, one after the other, with their starts."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        most = max(ranks.values())
+        tokens = [b""] * (most + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.known = np.zeros(most + 1, dtype=bool)
+        self.known[list(ranks.values())] = True
+        self.size = np.array([len(t) for t in tokens], dtype=np.int32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.data = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def decode(self, values: list[bytes]) -> list[bytes]:
+        """Bytes of each list of ids; KeyError for an id that is no token."""
+        ids = np.frombuffer(b"".join(values), "<u4")
+        if len(ids) and (ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise KeyError("an id is no token of the vocabulary")
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        # Places in the table: each token's start, and on from there.
+        place = np.repeat(self.start[ids] - ends[:-1].astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        data = self.data[place].tobytes()
+        cuts = ends[np.cumsum([0, *[len(v) // 4 for v in values]])].tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 @functools.lru_cache(maxsize=2)
-def token_bytes(path: str) -> dict[int, bytes]:
-    return {v: k for k, v in read_ranks(path).items()}
+def table(path: str) -> Table:
+    return Table(read_ranks(path))
+
+
+def release() -> None:
+    encoder.cache_clear()
+    table.cache_clear()
 
 
 def encode(
@@ -231,9 +257,18 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str | None = None, decoded: s
     path = ranks or vocabulary("byte_bpe_50k.tiktoken")
 
     def make(batches):
-        table = token_bytes(path)
+        tokens = table(path)
         for b in batches:
-            column = b.column(b.schema.get_field_index(ids)).to_pylist()
-            yield [pa.array([b"".join([table[i] for i in np.frombuffer(v or b"", "<u4").tolist()]) for v in column], pa.binary())]
+            column = [v or b"" for v in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            made: list[bytes] = []
+            at = 0
+            while at < len(column):
+                upto, size = at + 1, len(column[at])
+                while upto < len(column) and size + len(column[upto]) < DECODED:
+                    size += len(column[upto])
+                    upto += 1
+                made += tokens.decode(column[at:upto])
+                at = upto
+            yield [pa.array(made, pa.binary())]
 
     return map_added(df, [T.StructField(decoded, T.BinaryType())], make)

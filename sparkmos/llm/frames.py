@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +15,50 @@ from pyspark.sql import types as T
 ROWS = 500
 
 
+_last: list[str] = []
+
+
+def begin(module: str) -> None:
+    """Called where a task of an operator begins: what other operators keep in this worker is let go.
+
+    A worker serves the tasks of one stage after the other; only the caches of the operator at
+    work should take memory. Modules with caches have a function ``release``.
+    """
+    if _last and _last[0] != module:
+        getattr(sys.modules.get(_last[0]), "release", lambda: None)()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _last[:] = [module]
+
+
+class Kept:
+    """Results by key, kept for reuse: ``keys`` of late, and as many before them.
+
+    Keys that are asked for again move over to the late ones, so only rare keys are made twice.
+    """
+
+    def __init__(self, keys: int):
+        self.keys, self.late, self.old = keys, {}, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that must be made; the others are in ``late`` from now on."""
+        if len(self.late) > self.keys:
+            self.old, self.late = self.late, {}
+        late, old, out = self.late, self.old, []
+        for k in wanted.difference(late):
+            if k in old:
+                late[k] = old[k]
+            else:
+                out.append(k)
+        return out
+
+    def forget(self, keys: list[str], longest: int) -> None:
+        """Long keys are not worth their memory."""
+        for k in keys:
+            if len(k) > longest:
+                del self.late[k]
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less every column that is named like an output: the operator's own value wins."""
     taken = {n.lower() for n in names}
@@ -33,6 +79,7 @@ def map_added(df: DataFrame, fields: list[T.StructField], make) -> DataFrame:
     names = [*df.columns, *[f.name for f in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(make.__module__)
         held: list[pa.RecordBatch] = []
 
         def seen() -> Iterator[pa.RecordBatch]:
