@@ -249,3 +249,8 @@ def _row(held: tuple, next_text: str, next_p: np.ndarray, next_mark: str) -> tup
     edited_mark = fingerprint(spliced(p, n - cut, next_p, length))
     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
     return doc_id, n, sha, mark, edited_mark, likeness(mark, edited_mark), likeness(mark, next_mark)
+
+
+def release() -> None:
+    """What this operator keeps in a worker."""
+    _known.cache_clear()

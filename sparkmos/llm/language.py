@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmos.llm.frames import map_added, text_blocks, texts
+from sparkmos.llm.frames import begin, map_added, text_blocks, texts
 
 GRAM = 4
 BITS, HASHES = 20, 3
@@ -133,6 +133,7 @@ def fit(
         condition = condition | ((F.col("lang") == name) & lowest)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             names = np.array(b.column(0).to_pylist(), dtype=object)
@@ -193,3 +194,8 @@ def predict(df: DataFrame, filters: Filters, text: str = "text", out: str = "lan
             yield [pa.array(names, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
 
     return map_added(df, [T.StructField(out, T.StringType()), T.StructField(score, T.DoubleType())], make)
+
+
+def release() -> None:
+    """What this operator keeps in a worker."""
+    _lower.cache_clear()

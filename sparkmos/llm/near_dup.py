@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from sparkmos.llm import sketch
 from sparkmos.llm.frames import ROWS as BATCH
-from sparkmos.llm.frames import text_blocks, texts
+from sparkmos.llm.frames import begin, text_blocks, texts
 from sparkmos.session import materialize
 
 ROWS = 5
@@ -74,6 +74,7 @@ def signatures(numbered: DataFrame, words: int = 5, bands: int = bands_for(85),
     """uid, doc_id, n_shingles, two keys of the whole set, and one hash per band, from uid, doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         for part, values in _blocks(batches):
             h, n = sketch.shingles(values, words)
             k1, k2 = sketch.set_keys(h, n)
@@ -100,6 +101,7 @@ def _sets(numbered: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     packed = np.packbits(marked).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         mask = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
 
         def chosen() -> Iterator[pa.RecordBatch]:
@@ -156,6 +158,7 @@ def _hub_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):

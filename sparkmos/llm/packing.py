@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmos.llm import word_bpe
-from sparkmos.llm.frames import texts, vocabulary
+from sparkmos.llm.frames import ROWS, begin, texts, vocabulary
 from sparkmos.session import materialize
 
 WINDOW = 4096
@@ -123,15 +123,18 @@ def _tokenize(docs: DataFrame, text: str, path: str, end_id: int) -> DataFrame:
     """One row per document: uid, doc_id, ids of two or four bytes each, their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(word_bpe.__name__)
         coder = word_bpe.words(path)
         end = np.array([end_id], dtype=coder.dtype).tobytes()
-        for b in batches:
-            made = [ids + end for ids in coder.encode(texts(b, text))]
-            size = np.dtype(coder.dtype).itemsize
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(made, pa.binary()), pa.array([len(m) // size for m in made], pa.int64())],
-                names=["uid", "doc_id", "packed", "n"],
-            )
+        size = np.dtype(coder.dtype).itemsize
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                made = [ids + end for ids in coder.encode(texts(b, text))]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(made, pa.binary()), pa.array([len(m) // size for m in made], pa.int64())],
+                    names=["uid", "doc_id", "packed", "n"],
+                )
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col(text).alias(text))
     return rows.mapInArrow(run, "uid long, doc_id long, packed binary, n long")

@@ -379,3 +379,9 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
             yield [pa.array(own.score(texts(b, text)), pa.float64())]
 
     return map_added(df, [T.StructField(out, T.DoubleType())], make)
+
+
+def release() -> None:
+    """What this operator keeps in a worker."""
+    _USED.clear()
+    _folding.cache_clear()

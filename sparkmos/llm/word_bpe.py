@@ -93,3 +93,7 @@ class Words:
 def words(path: str) -> Words:
     """One per Python worker, which Spark keeps from task to task."""
     return Words(path)
+
+
+def release() -> None:
+    words.cache_clear()
