@@ -20,6 +20,8 @@ REQUIRED = {
     # fused into one method exceeds that and would be interpreted; Spark then does better
     # with one compiled projection per step.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Rows of texts are long: what Python workers and the JVM hold of them follows this.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Streaming state on the executors' disks, not in their memory; the stateful rules need it.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
