@@ -59,6 +59,14 @@ class Kept:
                 del self.late[k]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less every column that is named like an output: the operator's own value wins."""
     taken = {n.lower() for n in names}

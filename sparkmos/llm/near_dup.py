@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from sparkmos.llm import sketch
 from sparkmos.llm.frames import ROWS as BATCH
-from sparkmos.llm.frames import begin, text_blocks, texts
+from sparkmos.llm.frames import begin, free_name, text_blocks, texts
 from sparkmos.session import materialize
 
 ROWS = 5
@@ -279,8 +279,9 @@ def _grouped(numbered: DataFrame, percent: int, words: int, bands: int, rows: in
 def deduplicate(docs: DataFrame, text: str = "text", percent: int = 85, words: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group; same conditions as ``groups``."""
     columns = [docs[f"`{c}`"] for c in docs.columns]
-    stored = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), *columns))
-    own = stored.select(F.col("__row").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    row = free_name(docs, "__row")
+    stored = materialize(docs.select(F.monotonically_increasing_id().alias(row), *columns))
+    own = stored.select(F.col(row).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = _grouped(own, percent, words, bands_for(percent), ROWS, BLOCK)
-    gone = named.where(~F.col("kept")).select(F.col("uid").alias("__row"))
-    return stored.join(gone, "__row", "left_anti").drop("__row")
+    gone = named.where(~F.col("kept")).select(F.col("uid").alias(row))
+    return stored.join(gone, row, "left_anti").drop(row)

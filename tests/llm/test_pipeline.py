@@ -65,3 +65,17 @@ def test_stages_take_empty_and_odd_tables(spark, sf):
             assert stage(spark, docs, sf).columns == docs.columns
             stage(spark, docs, sf).count()
         corpus_pipeline.pack(spark, docs, sf).count()
+
+
+def test_columns_named_like_the_stages_own_stay(spark, sf):
+    text = "the quick brown fox jumps over the lazy dog and runs away from the house"
+    rows = [(i, text + f" again {i}", "en", 7.5, 8.5, "own", -i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, __toxic double, __explained double, __LANG string, __row int")
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/clashing"
+    docs.write.mode("overwrite").parquet(path)
+    docs = spark.read.parquet(path)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns
+        assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()}
+    assert [r.doc_id for r in got.collect()] == [0]
