@@ -3,7 +3,13 @@ near-duplicate group stays, and what is left is packed into training windows.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes each stage's
 result as Parquet in the shared folder and hands it, read again, to the next; the last result
-is returned as it is. All stages but the last return the columns of ``documents``.
+is returned as it is. All stages but the last return the columns of ``documents``, whatever
+they are called.
+
+Rows are judged one by one in the first two stages, so repeated rows stay or go together; of
+equal or near texts, and of rows with the same doc_id among them, one row stays (the smallest
+doc_id, null last). Null and empty texts are not toxic, have no language and go there. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmos.llm import language, near_dup, packing, toxicity
+from sparkmos.llm.frames import free_name
 from sparkmos.session import materialize, prepare
 
 #: Documents that score at least this go.
@@ -30,15 +37,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all labels; a document without text is not toxic."""
     prepare(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _same_columns(toxicity.score(docs, model, out="__toxic").where(F.col("__toxic") < TOXIC), docs)
+    out = free_name(docs, "__toxic")
+    return _same_columns(toxicity.score(docs, model, out=out).where(F.col(out) < TOXIC), docs)
 
 
 def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no known language, go."""
     prepare(spark)
     filters = language.fit(docs)
-    named = language.predict(docs, filters, out="__lang", score="__explained")
-    return _same_columns(named.where((F.col("__lang") != language.UNKNOWN) & (F.col("__explained") >= EXPLAINED)), docs)
+    lang, explained = free_name(docs, "__lang"), free_name(docs, "__explained")
+    named = language.predict(docs, filters, out=lang, score=explained)
+    return _same_columns(named.where((F.col(lang) != language.UNKNOWN) & (F.col(explained) >= EXPLAINED)), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
