@@ -122,8 +122,8 @@ def d22(spark, sf):
 
 SLA = "CASE source WHEN 'open_meteo' THEN 60 WHEN 'open_meteo_ensemble' THEN 60 WHEN 'domaso_live' THEN 20 WHEN 'arpa_lombardia' THEN 30 WHEN 'era5_reanalysis' THEN 300 WHEN 'diy_buoy' THEN 5 ELSE 60 END"
 FRESH_AT = "TIMESTAMP '2024-01-31 00:30:00'"
-FRESH = f"""n AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY checked_at DESC) AS rk FROM fx_source_health) WHERE rk = 1),
-fr AS (SELECT source, checked_at AS last_check_at, date_diff('microsecond', checked_at, {FRESH_AT}) / 60e6 AS age, {SLA} AS sla_minutes, ok, latency_ms FROM n)"""
+FRESH = f"""fh AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY checked_at DESC) AS rk FROM fx_source_health) WHERE rk = 1),
+fr AS (SELECT source, checked_at AS last_check_at, date_diff('microsecond', checked_at, {FRESH_AT}) / 60e6 AS age, {SLA} AS sla_minutes, ok, latency_ms FROM fh)"""
 
 
 def fresh_now():
@@ -137,7 +137,10 @@ def f38(spark, sf):
     return health.freshness(table(spark, sf, "fx_source_health"), fresh_now())
 
 
-@query("f38_freshness_penalty", sql(f"WITH {FRESH} SELECT {r('least(0.5, sum(CASE WHEN age <= sla_minutes THEN 0 WHEN source LIKE ' + repr('open_meteo%') + ' THEN 0.25 WHEN source IN (' + repr('domaso_live') + ', ' + repr('arpa_lombardia') + ') THEN 0.1 ELSE 0.05 END))')} AS penalty FROM fr", "fx_source_health"))
+PENALTY = f"SELECT {r('least(0.5, sum(CASE WHEN age <= sla_minutes THEN 0 WHEN source LIKE ' + repr('open_meteo%') + ' THEN 0.25 WHEN source IN (' + repr('domaso_live') + ', ' + repr('arpa_lombardia') + ') THEN 0.1 ELSE 0.05 END))')} AS penalty FROM fr"
+
+
+@query("f38_freshness_penalty", sql(f"WITH {FRESH} {PENALTY}", "fx_source_health"))
 def f38_penalty(spark, sf):
     return health.freshness_penalty(health.freshness(table(spark, sf, "fx_source_health"), fresh_now()))
 

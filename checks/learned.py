@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from checks.featureset import OP_SPINE, OWN, features_df, ref
 from checks.fx import query, r, sql, table
 from checks.lookups import PAIRS, nearest_sql, pairs_df
-from checks.scoring import BY_TIME, COMBOS, FX, GROUPS, N_TEST, PATHS, SERVED, indexed_df, served_df
+from checks.alerting import FRESH, PENALTY, fresh_now
+from checks.scoring import BY_TIME, COMBOS, CONF, FX, GROUPS, N_TEST, PATHS, SERVED, indexed_df, served_df, stubbed
 from sparkmos import settings as cfg
-from sparkmos.operators import attribution, conformal, crossval, quantile_boost, verify
-from sparkmos.plans import evaluation, features, training
+from sparkmos.operators import attribution, conformal, crossval, health, quantile_boost, verify
+from sparkmos.plans import evaluation, features, inference, training
 from sparkmos.session import materialize
 
 #: Numeric columns of the feature row with climatology.
@@ -18,9 +19,10 @@ N_FEATURES = 190
 
 SCORES = """sc AS (SELECT CASE WHEN id % 2 = 0 THEN 'u' ELSE 'v' END AS target, CASE id % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.5 ELSE 0.9 END::DOUBLE AS quantile, abs(wind_speed_kn - expected_error_kn) AS score FROM fx_predictions)"""
 # Position level * (n - 1) between two order statistics.
+POSITION = "max(score) FILTER (WHERE i = floor(pos)) + (max(score) FILTER (WHERE i = ceil(pos)) - max(score) FILTER (WHERE i = floor(pos))) * (pos - floor(pos))"
 Q_HAT = f"""lv AS (SELECT target, quantile, count(*) AS n, least(ceil((count(*) + 1) * 0.9::DOUBLE) / count(*), 1) * (count(*) - 1) AS pos FROM sc GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY target, quantile ORDER BY score) - 1 AS i FROM sc)
-SELECT target, quantile, n AS n_calibration, {r('max(score) FILTER (WHERE i = floor(pos)) + (max(score) FILTER (WHERE i = ceil(pos)) - max(score) FILTER (WHERE i = floor(pos))) * (pos - floor(pos))')} AS q_hat
+SELECT target, quantile, n AS n_calibration, {r(POSITION)} AS q_hat
 FROM rk JOIN lv USING (target, quantile) WHERE n >= 100 GROUP BY target, quantile, n, pos"""
 
 
@@ -42,6 +44,29 @@ def d15(spark, sf):
     return evaluation.calibrators(served_df(spark, sf))
 
 
+# Calibrated by scores in units of the expected error, with stale sources taken off the confidence.
+UNITS = "CASE WHEN {e} >= 0.1 THEN {e} / 0.1 ELSE 1 END"
+NORMED = "sc AS (SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS target, {q}::DOUBLE AS quantile, abs({TARGET.format(t=t)} - bias_{t}_q{round(q * 100):02d}) / {UNITS.format(e='expected_error_kn')} AS score FROM served WHERE hour(t) % 2 = 0" for t in ("u", "v") for q in cfg.QUANTILES
+) + ") WHERE score IS NOT NULL)"
+SHIFTED = ", ".join(
+    r(f"bias_{t}_q{n:02d} {'-' if n < 50 else '+'} coalesce((SELECT q_hat FROM qh WHERE target = '{t}' AND quantile = {q}::DOUBLE), 0) * {UNITS.format(e='err')}") + f" AS bias_{t}_q{n:02d}" for t in ("u", "v") for q, n in ((0.1, 10), (0.9, 90))
+)
+D5_CALIBRATED = sql(f"""WITH {SERVED}, {NORMED}, {Q_HAT.replace(chr(10) + 'SELECT', ', qh AS (SELECT').replace(r(POSITION), POSITION)}), {FRESH}, pen AS ({PENALTY})
+SELECT point_id, t AS valid_time, wind_speed_kn, wind_gust_kn, {r(f'({CONF}) * (1 - (SELECT penalty FROM pen))', 1)} AS confidence_pct, {SHIFTED} FROM served""", *FX, "fx_source_health")
+
+
+@query("d05_served_calibrated", D5_CALIBRATED)
+def d05_calibrated(spark, sf):
+    """All features, normalized calibrators, and the freshness penalty of the sources."""
+    rows = stubbed(features_df(spark, sf))
+    q_hats = evaluation.calibrators(served_df(spark, sf), normalized="expected_error_kn")
+    status = health.freshness(table(spark, sf, "fx_source_health"), fresh_now())
+    penalty = health.freshness_penalty(status).select("penalty").scalar()
+    served = inference.served_forecast(rows, calibrators=q_hats, freshness_penalty=penalty)
+    return served.select("point_id", "valid_time", "wind_speed_kn", "wind_gust_kn", "confidence_pct", *[f"bias_{t}_q{n}" for t in ("u", "v") for n in ("10", "90")])
+
+
 @query("a11_skill", sql(f"WITH {PAIRS} SELECT point_id, {r('CASE WHEN avg(abs(wind_gust_kn - obs_speed)) > 0 THEN (1 - avg(abs_error) / avg(abs(wind_gust_kn - obs_speed))) * 100 ELSE 0 END')} AS skill_pct FROM pairs GROUP BY 1", "fx_predictions", "fx_observations"))
 def a11(spark, sf):
     """Against the gust taken for the wind."""

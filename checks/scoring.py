@@ -37,6 +37,7 @@ def served_df(spark, sf):
 
 u0, v0 = U.format(s="rs", d="rd"), V.format(s="rs", d="rd")
 SPD, DIR = back(f"({u0} + bias_u_q50)", f"({v0} + bias_v_q50)")
+CONF = "greatest(10, least(99, greatest(20, least(95, 95 - 9 * err)) - CASE WHEN dist_km IS NULL THEN 3 ELSE 0 END - 5 * (5 - n_models)))"
 SERVED = f"""{JOINED},
 b0 AS (SELECT *, coalesce(fc_icon_eu_speed, 0) AS rs, coalesce(fc_icon_eu_dir, 0) AS rd FROM j0),
 b1 AS (SELECT *, 0.5 + (lh % 5) / 10.0::DOUBLE AS bias_u_q50, rs / 20 - 0.3 AS bias_v_q50, -0.5 - (lh % 7) / 10.0::DOUBLE AS bias_u_q10, 1.5::DOUBLE AS bias_u_q90, -1.25::DOUBLE AS bias_v_q10, 0.75 + rs / 10 AS bias_v_q90 FROM b0),
@@ -44,7 +45,7 @@ b2 AS (SELECT *, {SPD} AS sp, {DIR} AS dr, sqrt(pow(bias_u_q90 - bias_u_q10, 2)
 b3 AS (SELECT *, CASE WHEN rs > 0.1 THEN sp * (fc_icon_eu_gust / rs) ELSE fc_icon_eu_gust END AS g0 FROM b2),
 b4 AS (SELECT *, CASE WHEN g0 < 0.9 * sp THEN 1.3 * sp ELSE g0 END AS g1 FROM b3),
 served AS (SELECT *, {r('sp', 2)} AS wind_speed_kn, {r('dr', 1)} AS wind_dir_deg, {r('CASE WHEN g1 > 3 * sp THEN 2.5 * sp ELSE g1 END', 2)} AS wind_gust_kn,
-  {r('greatest(10, least(99, greatest(20, least(95, 95 - 9 * err)) - CASE WHEN dist_km IS NULL THEN 3 ELSE 0 END - 5 * (5 - n_models)))', 1)} AS confidence_pct, {r('err', 2)} AS expected_error_kn FROM b4)"""
+  {r(CONF, 1)} AS confidence_pct, {r('err', 2)} AS expected_error_kn FROM b4)"""
 SERVED_COLS = "wind_speed_kn wind_dir_deg wind_gust_kn confidence_pct expected_error_kn"
 
 

@@ -81,15 +81,19 @@ def nearest_observation(
 def observations_before(requests: DataFrame, observations: DataFrame, max_age_min: int) -> DataFrame:
     """All observations of the look-back window of each distinct ``t``, with ``t`` attached.
 
-    The plain lookback scan: an output of this size is what the caller asked for.
+    The plain lookback scan: an output of this size is what the caller asked for. Both sides
+    meet in slices of a minute (of a sixtieth of the window, if that is longer), so that no
+    hour of many readings is one key.
     """
     start = F.date_trunc("minute", F.col("t")).cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(max_age_min))
+    slice_min = max(1, max_age_min // 60)
+    at = lambda minute: F.floor(minute / slice_min)
     wanted = (
         requests.select("t")
         .distinct()
-        .withColumn("_bucket", F.explode(F.sequence(F.floor((minute_index("t") - max_age_min) / 60), F.floor(minute_index("t") / 60))))
+        .withColumn("_bucket", F.explode(F.sequence(at(minute_index("t") - max_age_min), at(minute_index("t")))))
     )
-    obs = observations.withColumn("_bucket", F.floor(minute_index("timestamp") / 60))
+    obs = observations.withColumn("_bucket", at(minute_index("timestamp")))
     return wanted.join(obs, "_bucket").filter((F.col("timestamp") <= F.col("t")) & (F.col("timestamp") >= start)).drop("_bucket")
 
 

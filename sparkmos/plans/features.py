@@ -259,8 +259,9 @@ def build_features(
         speeds = speeds.select(*keys, F.col("wind_speed_kn").alias("fc_speed"))
         df = df.join(climatology_features(base, speeds, climatology, years_back), keys, "left")
     df = df.join(pressure, "t", "left").join(water, "t", "left")
+    # The sun's two dozen steps are planned over three columns, not over the wide row.
     places = points_df(spark, points).select("point_id", "lat", "lon")
-    df = add_solar(df.join(places, "point_id"), time="t")
+    df = df.join(add_solar(base.join(places, "point_id"), time="t").drop("lat", "lon"), keys)
 
     local_time = timefn.local("t")
     anchor = {name: F.col(f"p_{name}") for name in cfg.ANCHORS}
@@ -293,7 +294,7 @@ def build_features(
     )
     if climatology is not None:
         df = df.withColumns(anomalies())
-    drop = ["ti_mean", "ti_n", "ti_newest", "ti_oldest", "ti_solar", "solar_3h", "water_temp", "lat", "lon"]
+    drop = ["ti_mean", "ti_n", "ti_newest", "ti_oldest", "ti_solar", "solar_3h", "water_temp"]
     df = df.drop(*drop, *[f"p_{name}" for name in cfg.ANCHORS]).withColumns(
         {"ref_speed_kn": F.coalesce(r("speed"), F.lit(0.0)), "ref_dir_deg": F.coalesce(r("dir"), F.lit(0.0))}
     )

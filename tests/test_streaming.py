@@ -334,3 +334,20 @@ def test_stream_stream_pairs_equal_batch(spark, slices, tmp_path):
         if near:
             want[v] = -min(near)[3]
     assert got == want
+
+
+def test_a_busy_hour_leaves_two_rows_per_minute(spark, tmp_path):
+    """20,000 readings of one hour, some at equal times: at most 120 go on, the first and the last of each minute."""
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(["a", "b"]), T0 + timedelta(milliseconds=rnd.randrange(36_000) * 100), float(i)) for i in range(20_000)]
+    spark.createDataFrame(rows, "id bigint, source string, timestamp timestamp_ntz, wind_speed_kn double").coalesce(1).write.parquet(str(tmp_path / "o"))
+    out = scratch_dir(spark)
+    edges = keyed.minute_edges(stream(spark, str(tmp_path / "o")), "2 hours")
+    sources.run_available(edges, path=out)
+    got = {(r.id, r.source, r.obs_speed) for r in read(spark, edges, out).collect()}
+    want = set()
+    for m in range(60):
+        mine = [r for r in rows if (r[2] - T0) // timedelta(minutes=1) == m]
+        want.add(min(mine, key=lambda r: (r[2], r[1], -r[0])))
+        want.add(min(mine, key=lambda r: (T0 - r[2], r[1], -r[0])))
+    assert got == {(r[0], r[1], r[3]) for r in want} and len(got) <= 120
