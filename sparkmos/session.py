@@ -70,12 +70,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return os.path.join(root, uuid.uuid4().hex) if "://" not in root else f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back; ``options`` are the writer's.
 
     Used where a result feeds several jobs: it cuts lineage, survives the loss of
     executors and lets each reader prune columns.
     """
     path = scratch_dir(df.sparkSession)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
