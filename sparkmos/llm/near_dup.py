@@ -280,7 +280,7 @@ def deduplicate(docs: DataFrame, text: str = "text", percent: int = 85, words: i
     """``docs`` with one row of each near-duplicate group; same conditions as ``groups``."""
     columns = [docs[f"`{c}`"] for c in docs.columns]
     row = free_name(docs, "__row")
-    stored = materialize(docs.select(F.monotonically_increasing_id().alias(row), *columns))
+    stored = materialize(docs.select(F.monotonically_increasing_id().alias(row), *columns), compression="zstd")
     own = stored.select(F.col(row).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = _grouped(own, percent, words, bands_for(percent), ROWS, BLOCK)
     gone = named.where(~F.col("kept")).select(F.col("uid").alias(row))
