@@ -175,7 +175,7 @@ def d02_clim(spark, sf):
 @query("d03_training_set", sql(f"""WITH {OP_SPINE}, {OWN}, {nearest_sql(0, 60)} SELECT w.point_id, count(*) AS n, {r(f"avg({CONTEXT['target_u'].replace('o_speed', 'near.wind_speed_kn').replace('o_dir', 'near.wind_dir_deg')})")} AS mean_target_u
 FROM wide w JOIN near USING (point_id, t) WHERE {ref('speed')} IS NOT NULL AND {ref('dir')} IS NOT NULL GROUP BY 1""", *FX))
 def d03(spark, sf):
-    return features.training_set(features_df(spark, sf, climatology=False)).groupBy("point_id").agg(
+    return features.training_set(features_df(spark, sf)).groupBy("point_id").agg(
         F.count("*").alias("n"), F.avg("target_u").alias("mean_target_u")
     )
 

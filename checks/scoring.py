@@ -32,7 +32,7 @@ def stubbed(df):
 
 
 def served_df(spark, sf):
-    return inference.served_forecast(stubbed(features_df(spark, sf, climatology=False)))
+    return inference.served_forecast(stubbed(features_df(spark, sf)))
 
 
 u0, v0 = U.format(s="rs", d="rd"), V.format(s="rs", d="rd")
