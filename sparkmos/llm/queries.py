@@ -133,7 +133,7 @@ b AS (
   FROM benchmark),
 v AS (
   SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS id
-  FROM (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM t) GROUP BY word ORDER BY n DESC, word LIMIT 1022)),
+  FROM (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM t) GROUP BY word)),
 tw AS (
   SELECT x.doc_id, x.i, coalesce(v.id, 0) AS id
   FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM t) x LEFT JOIN v USING (word)),
@@ -145,7 +145,7 @@ bp AS (SELECT coalesce(lag(id) OVER (PARTITION BY item_id ORDER BY i), 1) AS h,
 s AS (SELECT (SELECT count(*) FROM bp) / (SELECT count(*) FROM tp)::DOUBLE AS scale),
 gc AS (SELECT h, w, count(*) * (SELECT scale FROM s) AS c FROM tp GROUP BY h, w),
 wc AS (SELECT h, w, count(*)::DOUBLE AS c FROM bp GROUP BY h, w),
-ids AS (SELECT unnest(range(1024)) AS w),
+ids AS (SELECT unnest(range((SELECT count(*) FROM v) + 2)) AS w),
 gu AS (SELECT w, CASE WHEN w = 1 THEN 0.5 ELSE coalesce(sum(c), 0) + 0.5 END AS u FROM ids LEFT JOIN gc USING (w) GROUP BY w),
 wu AS (SELECT w, CASE WHEN w = 1 THEN 0.5 ELSE coalesce(sum(c), 0) + 0.5 END AS u FROM ids LEFT JOIN wc USING (w) GROUP BY w),
 gh AS (SELECT h, sum(c) AS c FROM gc GROUP BY h),

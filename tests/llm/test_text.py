@@ -144,6 +144,61 @@ def test_each_models_losses_are_a_distribution():
     assert np.allclose(np.exp(-lm_score.losses(counts, 0.3)).sum(axis=1), 1)
 
 
+def test_rare_words_carry_evidence(spark):
+    """The last texts differ in one word only, which 2000 others are as common as."""
+    rows = [(i, f"aa bb w{i} w{i}") for i in range(2000)] + [(3000, "aa w11"), (3001, "aa w1900")]
+    for rare, other in ((3000, 3001), (3001, 3000)):
+        word = dict(rows)[rare].split()[1]
+        got = {r.doc_id: r.lm_score for r in lm_score.score(table(spark, rows), table(spark, [(0, f"aa {word} bb {word}")] * 3)).collect()}
+        assert got[rare] < got[other] - 0.01
+
+
+def by_hand(text: str, target: list[str], background: list[str]) -> tuple[float, float] | None:
+    def pairs(texts):
+        return [p for t in texts for p in zip(["", *t.split()], t.split())]
+
+    wanted, general = pairs(target), pairs(background)
+    n_words = len({w for _, w in general})
+    level = len(wanted) / len(general)
+    out = []
+    for own, scale in ((wanted, 1.0), (general, level)):
+        loss = [
+            -np.log(
+                (scale * own.count((h, w)) + 50 * (scale * sum(x == w for _, x in own) + 0.5) / (scale * len(own) + 0.5 * (n_words + 2)))
+                / (scale * sum(x == h for x, _ in own) + 50)
+            )
+            for h, w in pairs([text])
+        ]
+        out.append(np.mean(loss) if loss else None)
+    return out
+
+
+@pytest.mark.parametrize("own_background", [False, True])
+def test_scores_of_blocks_and_ranges_are_those_by_hand(spark, monkeypatch, own_background):
+    """Many blocks and ranges, rows that come twice, null ids and texts."""
+    monkeypatch.setattr(lm_score, "LEAST_BLOCK", 40)
+    monkeypatch.setattr(lm_score, "RANGE", 50)
+    rnd = random.Random(5)
+    some = lambda n: [" ".join(rnd.choices("abcdefgh", k=rnd.randrange(12))) for _ in range(n)]
+    texts_, target, background = some(40), some(6), some(20)
+    rows = [*enumerate(texts_), *enumerate(texts_[:5]), (None, "a b c"), (None, None)]
+    got = lm_score.score(table(spark, rows), table(spark, list(enumerate(target))), table(spark, list(enumerate(background))) if own_background else None).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    for r in got:
+        want = by_hand(r.text or "", target, background if own_background else [t or "" for _, t in rows])
+        assert r.n_words == len((r.text or "").split())
+        if r.n_words:
+            assert np.allclose((r.loss_target, r.loss_background, r.lm_score), (*want, want[0] - want[1]))
+        else:
+            assert r.lm_score is None
+
+
+def test_fixed_vocabulary_on_request(spark):
+    rows = [(i, f"aa bb w{i}") for i in range(50)]
+    got = lm_score.score(table(spark, rows), table(spark, [(0, "aa w7")]), size=4).collect()
+    assert len({r.lm_score for r in got}) == 1 and len(got) == 50
+
+
 # Licenses
 
 
