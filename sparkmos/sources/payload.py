@@ -203,5 +203,8 @@ SPREAD_SCHEMA = (
 
 
 def spread_from_json(raw_json: Column) -> Column:
-    """The seven spread fields used as features, out of the stored JSON text."""
-    return F.from_json(raw_json, SPREAD_SCHEMA)
+    """The seven spread fields used as features, out of the stored JSON text.
+
+    Read as a list of one object: Spark parses the text anew for each field taken from a plain object.
+    """
+    return F.get(F.from_json(raw_json, f"array<{SPREAD_SCHEMA}>"), F.lit(0))

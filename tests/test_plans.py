@@ -1,5 +1,6 @@
 """The shape of the physical plans: what must hold whatever the data's size."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,6 +12,7 @@ from sparkmos.operators import asof, nearest, tables
 from sparkmos.plans import features
 from sparkmos.session import materialize, scratch_dir
 from sparkmos.settings import OPERATIONAL
+from sparkmos.sources import payload
 
 # The training-data operators have tests of their own.
 QUERIES = {name: fn for name, (fn, _) in driver.REGISTRY.items()}
@@ -151,3 +153,12 @@ def test_pairs_read_observations_once(spark, sf):
     for name, scans in (("j05_verification_pairs", 3), ("a16_accuracy_report", 3), ("w09_last_pairs", 3), ("d21_validation_report", 3), ("a29_error_histogram", 2)):
         p = plan(QUERIES[name](spark, sf)).split("Subqueries")[0]
         assert p.count("FileScan") <= scans, (name, p.count("FileScan"))
+
+
+def test_spread_is_parsed_once_per_row(spark):
+    """All fields come from one parse of the text, whatever it holds."""
+    texts = ['{"n_members": 3, "speed_mean": 1.5, "dir_std": null}', "{}", None, "", "no json", '{"n_members": 2, "more": [1]}', '{"speed_std": "x"}']
+    s = payload.spread_from_json(F.col("raw"))
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string").select("i", s["n_members"].alias("n"), s["speed_mean"].alias("m"), s["dir_std"].alias("d"))
+    assert len(set(re.findall(r"from_json\((.*?), raw#", got._jdf.queryExecution().optimizedPlan().toString()))) == 1
+    assert [tuple(r) for r in got.orderBy("i").collect()] == [(0, 3, 1.5, None), (1, None, None, None), (2, None, None, None), (3, None, None, None), (4, None, None, None), (5, 2, None, None), (6, None, None, None)]
