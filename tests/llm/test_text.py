@@ -145,8 +145,8 @@ def test_each_models_losses_are_a_distribution():
 
 
 def test_rare_words_carry_evidence(spark):
-    """The last texts differ in one word only, which 2000 others are as common as."""
-    rows = [(i, f"aa bb w{i} w{i}") for i in range(2000)] + [(3000, "aa w11"), (3001, "aa w1900")]
+    """The last texts differ in one word only, and 2000 others are commoner."""
+    rows = [(i, f"aa bb w{i} w{i}") for i in range(2000)] + [(3000, "aa x11"), (3001, "aa x1900")]
     for rare, other in ((3000, 3001), (3001, 3000)):
         word = dict(rows)[rare].split()[1]
         got = {r.doc_id: r.lm_score for r in lm_score.score(table(spark, rows), table(spark, [(0, f"aa {word} bb {word}")] * 3)).collect()}
