@@ -35,7 +35,7 @@ def features_df(spark, sf, climatology=True, operational=True):
     t = lambda n: table(spark, sf, n)
     return features.build_features(
         full_spine(spark, sf, operational), t("fx_forecast_runs"), t("fx_observations"), cfg.OPERATIONAL if operational else cfg.POINTS,
-        climatology=t("fx_climatology") if climatology else None, years_back=YEARS_BACK, start=ts(START), end=ts(END), tie_break=TB,
+        climatology=t("fx_climatology") if climatology else None, years_back=YEARS_BACK, start=ts(START), end=ts(END), tie_break=TB, store=True,
     )
 
 

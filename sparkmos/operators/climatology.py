@@ -4,7 +4,8 @@ Sums over a window are sums over its days, so the history is reduced once to par
 per (point, hour) and per (point, day), both with map-side combining. A sample needs whole
 days after its cutoff, which come from the daily table, and the part of the cutoff day that
 is not too old, which comes from the hourly one (the cutoff carries a time of day, and with
-years of 365 days its day lies inside the window).
+years of 365 days its day lies inside the window). Normals and frequency both work on the hourly
+sums: a caller that needs both can store these once and hand them in as ``hourly``.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def hourly_partials(climatology: DataFrame) -> DataFrame:
     """Counts and sums per (point, timestamp)."""
     wd = F.radians("wind_direction_10m")
     breva = F.when(F.hour("timestamp").between(11, 16), F.col("wind_speed_10m"))
-    aggs = []
+    aggs = [F.count("*").alias("n_rows")]
     for label, c in NORMALS.items():
         aggs += [F.count(c).alias(f"n_{label}"), F.sum(c).alias(f"s_{label}")]
     aggs += [
@@ -62,9 +63,18 @@ def _with_cutoff(samples: DataFrame, years_back: int) -> DataFrame:
     return samples.withColumn("cutoff", F.col("t") - F.make_dt_interval(days=F.lit(365 * years_back)))
 
 
-def window_sums(samples: DataFrame, climatology: DataFrame, window_days: int = WINDOW_DAYS, years_back: int = YEARS_BACK) -> DataFrame:
+def _reach(times: DataFrame, window_days: int, years_back: int) -> Column:
+    """Days of the year and cutoffs that the windows of any ``t`` lie between, as a scalar subquery."""
+    lo, hi = _window(F.col("t"), window_days)
+    ends = {"first_doy": F.min(lo), "last_doy": F.max(hi), "first_cutoff": F.min("cutoff"), "last_cutoff": F.max("cutoff")}
+    return _with_cutoff(times.select("t"), years_back).agg(F.struct(*[c.alias(n) for n, c in ends.items()]).alias("r")).scalar()
+
+
+def window_sums(
+    samples: DataFrame, climatology: DataFrame, window_days: int = WINDOW_DAYS, years_back: int = YEARS_BACK, hourly: DataFrame | None = None
+) -> DataFrame:
     """Summed partials per (point_id, t)."""
-    hourly = hourly_partials(climatology)
+    hourly = hourly_partials(climatology) if hourly is None else hourly
     daily = daily_partials(hourly).withColumn("doy", F.dayofyear("day"))
     wanted = _with_cutoff(samples.select("point_id", "t").distinct(), years_back)
     lo, hi = _window(F.col("t"), window_days)
@@ -99,9 +109,11 @@ def window_sums(samples: DataFrame, climatology: DataFrame, window_days: int = W
     )
 
 
-def normals(samples: DataFrame, climatology: DataFrame, window_days: int = WINDOW_DAYS, years_back: int = YEARS_BACK) -> DataFrame:
+def normals(
+    samples: DataFrame, climatology: DataFrame, window_days: int = WINDOW_DAYS, years_back: int = YEARS_BACK, hourly: DataFrame | None = None
+) -> DataFrame:
     """Normals of speed, temperature, pressure and direction, and the midday wind strength."""
-    sums = window_sums(samples, climatology, window_days, years_back)
+    sums = window_sums(samples, climatology, window_days, years_back, hourly)
 
     def mean(label: str) -> Column:
         return F.when(F.col(f"n_{label}") > 0, F.col(f"s_{label}") / F.col(f"n_{label}"))
@@ -122,22 +134,22 @@ def foehn_frequency(
     south: str = "milano_linate",
     window_days: int = WINDOW_DAYS,
     years_back: int = YEARS_BACK,
+    hourly: DataFrame | None = None,
 ) -> DataFrame:
     """Share of days (percent) whose mean pressure difference reaches 8 hPa, per distinct ``t``.
 
     NULL unless the northern point has 30 days of data since the cutoff. The cutoff hour
     matters only on the cutoff day, whose mean is taken over its later part.
     """
-    two = climatology.filter(F.col("point_id").isin(north, south))
+    two = (hourly_partials(climatology) if hourly is None else hourly).filter(F.col("point_id").isin(north, south))
+    of = lambda name, c: F.sum(F.when(F.col("point_id") == name, F.col(c)))
+    zero = F.lit(0)
     hourly = two.groupBy("timestamp").agg(
-        F.count(F.when(F.col("point_id") == north, 1)).alias("n_rows"),
+        F.coalesce(of(north, "n_rows"), zero).alias("n_rows"),
         *[
             f.alias(f"{p}_{k}")
             for k, name in (("z", north), ("m", south))
-            for p, f in (
-                ("n", F.count(F.when(F.col("point_id") == name, F.col("pressure_msl")))),
-                ("s", F.sum(F.when(F.col("point_id") == name, F.col("pressure_msl")))),
-            )
+            for p, f in (("n", F.coalesce(of(name, "n_pressure"), zero)), ("s", of(name, "s_pressure")))
         ],
     )
     parts = ["n_z", "s_z", "n_m", "s_m"]
@@ -180,7 +192,6 @@ def foehn_frequency(
             (foehn & paired).cast("int").alias("e_foehn"),
         )
     )
-    zero = F.lit(0)
     n_days = F.coalesce("n_days", zero) + F.coalesce("e_days", zero)
     n_foehn = F.coalesce("n_foehn", zero) + F.coalesce("e_days", zero) * F.coalesce("e_foehn", zero)
     n_north = F.coalesce("n_later", zero) + F.coalesce("e_north", zero)
@@ -218,17 +229,23 @@ def seasonal_percentile(
     value: str = "fc_speed",
     window_days: int = WINDOW_DAYS,
     years_back: int = YEARS_BACK,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Percent of historical speeds in the window that lie below the sample's forecast.
 
     Whole days after the cutoff are the same for all samples of a point and day, so they are
     counted once per (point, day of the samples, distinct speed), and one running sum over a
     day's speeds serves all its samples. Only the cutoff day itself is read by the hour.
+
+    History that no sample's window can touch is left out before it is counted or shuffled.
+    ``times`` has the samples' times (others do no harm), where that is cheaper to ask.
     """
     wanted = _with_cutoff(samples.filter(F.col(value).isNotNull()).select("point_id", "t", F.col(value).alias("x")), years_back)
     wanted = wanted.withColumn("t_day", F.to_date("t"))
     speeds = climatology.filter("wind_speed_10m IS NOT NULL")
-    daily = speeds.groupBy("point_id", F.to_date("timestamp").alias("day"), F.col("wind_speed_10m").alias("x")).agg(F.count("*").alias("n"))
+    reach = _reach(samples if times is None else times, window_days, years_back)
+    in_days = F.dayofyear("timestamp").between(reach["first_doy"], reach["last_doy"])
+    daily = speeds.filter(in_days).groupBy("point_id", F.to_date("timestamp").alias("day"), F.col("wind_speed_10m").alias("x")).agg(F.count("*").alias("n"))
     anchors = wanted.select("point_id", "t_day").distinct()
     a_lo, a_hi = _window(F.col("t_day"), window_days)
     whole = (
@@ -246,10 +263,11 @@ def seasonal_percentile(
     upto = of_day.orderBy("x", F.col("t").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = line.withColumns({"below": F.sum("n").over(upto), "whole": F.sum("n").over(of_day)}).filter("t IS NOT NULL")
     lo, hi = _window(F.col("t"), window_days)
+    on_cutoffs = (F.col("timestamp") >= reach["first_cutoff"]) & (F.to_date("timestamp") <= F.to_date(reach["last_cutoff"]))
     edge = (
         wanted.withColumn("day", F.to_date("cutoff"))
         .filter(F.dayofyear("cutoff").between(lo, hi))
-        .join(speeds.select("point_id", "timestamp", F.to_date("timestamp").alias("day"), "wind_speed_10m"), ["point_id", "day"])
+        .join(speeds.filter(on_cutoffs).select("point_id", "timestamp", F.to_date("timestamp").alias("day"), "wind_speed_10m"), ["point_id", "day"])
         .filter(F.col("timestamp") >= F.col("cutoff"))
         .groupBy("point_id", "t")
         .agg(F.count("*").alias("e_all"), F.count(F.when(F.col("wind_speed_10m") < F.col("x"), 1)).alias("e_below"))

@@ -17,6 +17,7 @@ from sparkmos import settings as cfg
 from sparkmos.functions import decision, features as ff, timefn, wind
 from sparkmos.functions.solar import add_solar
 from sparkmos.operators import asof, climatology as clim, nearest, tables
+from sparkmos.session import materialize
 from sparkmos.settings import Point
 from sparkmos.sources.payload import spread_from_json
 from sparkmos.sources.points import points_df
@@ -110,6 +111,13 @@ def forecast_features(
     return wide
 
 
+def newest_forecasts(forecasts: DataFrame, ensembles: Sequence[str] = (), tie_break: Sequence[str] = ()) -> DataFrame:
+    """The forecasts that any look-up can find, with the columns any of them reads, written once."""
+    read = [*FORECAST_FEATURES, *LEVEL_FEATURES, *UPPER_FEATURES, *(["raw_json"] if ensembles else [])]
+    have = set(forecasts.columns)
+    return materialize(asof.newest_runs(forecasts, [c for c in read if c in have], tie_break).drop("v_min", "bucket"))
+
+
 def anchor_pressures(times: DataFrame, forecasts: DataFrame, *, window: int = 180, tie_break: Sequence[str] = ()) -> DataFrame:
     """Per distinct ``t`` the pressure at each anchor: the first model by name that has one."""
     anchors = list(cfg.ANCHORS.values())
@@ -168,12 +176,19 @@ def lag_derivatives(current_speed: Column) -> dict[str, Column]:
 
 
 def climatology_features(
-    samples: DataFrame, speeds: DataFrame, climatology: DataFrame, years_back: int = clim.YEARS_BACK
+    samples: DataFrame, speeds: DataFrame, climatology: DataFrame, years_back: int = clim.YEARS_BACK, store: bool = False
 ) -> DataFrame:
-    """Normals, frequency and percentile per sample (point_id, t); ``speeds`` adds ``fc_speed``."""
-    n = clim.normals(samples, climatology, years_back=years_back)
-    pct = clim.seasonal_percentile(speeds, climatology, years_back=years_back)
-    foehn = clim.foehn_frequency(samples, climatology, years_back=years_back)
+    """Normals, frequency and percentile per sample (point_id, t); ``speeds`` adds ``fc_speed``.
+
+    With ``store`` the hourly sums of the history are written once; without it the history is
+    summed anew wherever they are used.
+    """
+    hourly = clim.hourly_partials(climatology)
+    if store:
+        hourly = materialize(hourly)
+    n = clim.normals(samples, climatology, years_back=years_back, hourly=hourly)
+    pct = clim.seasonal_percentile(speeds, climatology, years_back=years_back, times=samples)
+    foehn = clim.foehn_frequency(samples, climatology, years_back=years_back, hourly=hourly)
     return n.join(pct, ["point_id", "t"], "left").join(foehn.drop("n_north_days"), "t", "left")
 
 
@@ -221,6 +236,7 @@ def build_features(
     start: Column | None = None,
     end: Column | None = None,
     tie_break: Sequence[str] = (),
+    store: bool = False,
 ) -> DataFrame:
     """Features and targets for every (point_id, t) that has a reference forecast.
 
@@ -229,6 +245,10 @@ def build_features(
 
     ``exclude_min`` keeps the newest observations out of the lookup; by default the
     observation used as feature may be the one the target is made of.
+
+    ``store`` writes what several look-ups share to the scratch folder first, as jobs of their
+    own, so that they read the tables once instead of once each: worth it for training and
+    backtests over long histories.
     """
     keys = ["point_id", "t"]
     spark = samples.sparkSession
@@ -239,6 +259,8 @@ def build_features(
     observations = tables.in_range(observations, "timestamp", start, end, "INTERVAL '73' HOUR")
     if climatology is not None:
         climatology = tables.in_range(climatology, "timestamp", start, None, f"INTERVAL '{365 * years_back + 1}' DAY")
+    if store:
+        forecasts = newest_forecasts(forecasts, ensembles, tie_break)
     own = forecast_features(base, forecasts, ensembles=ensembles, reference=reference, tie_break=tie_break)
     lags = lagged_forecasts(base, forecasts, reference=reference, causal=causal, tie_break=tie_break)
     obs = observation_columns(
@@ -257,7 +279,7 @@ def build_features(
         one = forecasts.filter(F.col("model_name") == reference)
         speeds = asof.forecasts_at(base, one, ["wind_speed_kn"], 30, tie_break=tie_break)
         speeds = speeds.select(*keys, F.col("wind_speed_kn").alias("fc_speed"))
-        df = df.join(climatology_features(base, speeds, climatology, years_back), keys, "left")
+        df = df.join(climatology_features(base, speeds, climatology, years_back, store), keys, "left")
     df = df.join(pressure, "t", "left").join(water, "t", "left")
     # The sun's two dozen steps are planned over three columns, not over the wide row.
     places = points_df(spark, points).select("point_id", "lat", "lon")

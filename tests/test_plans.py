@@ -72,6 +72,68 @@ def test_features_read_only_the_days_they_need(spark, stored):
     assert a == b and len(a) > 0
 
 
+def history(spark, stored):
+    """Climatology beside ``stored``: years of hours, some of them twice, some without values."""
+    points = [p.point_id for p in OPERATIONAL] + ["zurich", "milano_linate"]
+    t0 = datetime(2021, 12, 1)
+    rows = [(points[i % 9], t0 + timedelta(hours=(i * 5) % 20000), None if i % 11 == 0 else float(i % 23), float(i * 7 % 360), float(i % 31), 980.0 + i * 13 % 40) for i in range(30000)]
+    path = scratch_dir(spark)
+    spark.createDataFrame(rows, "point_id string, timestamp timestamp_ntz, wind_speed_10m double, wind_direction_10m double, temperature_2m double, pressure_msl double").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def near_equal(a, b):
+    return a == b or isinstance(a, float) and isinstance(b, float) and a == pytest.approx(b, abs=1e-9)
+
+
+def test_stored_inputs_give_the_same_features(spark, stored):
+    """Several runs of a minute, equal runs told apart by id, and rows without keys."""
+    fc, obs = stored
+    extra = fc.withColumns({"run_time": F.expr("run_time - INTERVAL 6 HOUR"), "wind_speed_kn": F.lit(99.0), "id": F.col("id") + 5000})
+    equal = fc.filter("id % 3 = 0").withColumns({"wind_speed_kn": F.col("id") % 7 + 0.5, "id": F.col("id") + 9000})
+    other = fc.withColumns({"model_name": F.lit("gfs_seamless"), "valid_time": F.expr("valid_time + INTERVAL 20 MINUTE"), "temperature_2m": F.col("id") * 0.1})
+    odd = fc.filter("id < 9").withColumns({"point_id": F.when(F.col("id") % 2 == 0, F.col("point_id")), "model_name": F.when(F.col("id") % 3 == 0, F.col("model_name"))})
+    fc = fc.unionByName(extra).unionByName(equal).unionByName(other).unionByName(odd)
+    samples = spark.createDataFrame([(p.point_id, datetime(2024, 1, d, h)) for p in OPERATIONAL for d in (1, 15) for h in range(24)], "point_id string, t timestamp_ntz")
+    lazy, kept = (
+        features.build_features(samples, fc, obs, OPERATIONAL, climatology=history(spark, stored), years_back=2, tie_break=["id"], store=s).orderBy("point_id", "valid_time") for s in (False, True)
+    )
+    assert lazy.schema == kept.schema
+    a, b = lazy.collect(), kept.collect()
+    assert len(a) == len(b) > 0
+    assert [(x, c) for x, y in zip(a, b) for c in lazy.columns if not near_equal(x[c], y[c])] == []
+    assert any(x.climatology_foehn_frequency is not None for x in a) and any(x.seasonal_wind_percentile is not None for x in a)
+
+
+def test_stored_inputs_are_read_once(spark, sf):
+    """Of the history only the percentile's two short reads are left in the plan, of the forecasts none."""
+    from checks.featureset import features_df
+
+    scans = [line.split("]")[0] for line in plan(features_df(spark, sf)).splitlines() if "FileScan" in line]
+    assert sum("l_shipdate" in s for s in scans) <= 2
+    assert sum("user_id" in s or "event_id" in s for s in scans) <= 3  # the nearest observation, the water temperature by minute and by hour
+
+
+def test_percentile_counts_only_days_in_reach(spark):
+    """Days outside every window are gone before the first exchange, and the cutoff days' rows alone are shuffled."""
+    from sparkmos.operators import climatology
+
+    path = scratch_dir(spark)
+    spark.createDataFrame([("p", datetime(2023, 1, 1) + timedelta(days=i), float(i % 9)) for i in range(700)], "point_id string, timestamp timestamp_ntz, wind_speed_10m double").write.parquet(path)
+    asked = spark.createDataFrame([("p", datetime(2024, 1, 20, 5), 4.5), ("p", datetime(2024, 2, 1), 2.5)], "point_id string, t timestamp_ntz, fc_speed double")
+    found = climatology.seasonal_percentile(asked, spark.read.parquet(path), years_back=1)
+    lines = plan(found).split("Subqueries")[0].splitlines()  # before it is run: the plan as made
+    rows = [float(i % 9) for i in range(700)]
+    day = lambda i: datetime(2023, 1, 1) + timedelta(days=i)
+    for r in found.collect():
+        x = 4.5 if r.t.month == 1 else 2.5
+        doy = r.t.timetuple().tm_yday
+        mine = [v for i, v in enumerate(rows) if abs(day(i).timetuple().tm_yday - doy) <= 15 and day(i) >= r.t - timedelta(days=365)]
+        assert r.seasonal_wind_percentile == pytest.approx(100 * sum(v < x for v in mine) / len(mine), abs=0.051)
+    above = [next(line for line in reversed(lines[:i]) if "Filter (" in line or "hashpartitioning" in line) for i, line in enumerate(lines) if "FileScan" in line]
+    assert len(above) == 2 and all("ubquery" in line for line in above), above
+
+
 def test_scans_read_only_needed_columns(spark, stored):
     fc, _ = stored
     req = spark.createDataFrame([("dongo_shore", datetime(2024, 1, 15))], "point_id string, t timestamp_ntz")
